@@ -2,7 +2,8 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens (full pieces, then
 the remainder). The histogram of piece lengths, at most ``capacity`` numbers,
-goes to the driver; a linear program over cutting patterns is solved by column
+goes to the driver; a linear program over cutting patterns (of length classes
+a few tokens wide, which converges far sooner than one row a length) is solved by column
 generation (dense revised simplex, an unbounded knapsack dynamic program
 prices columns) until it is within ``gap`` of a lower bound; rounded-down
 patterns plus first-fit-decreasing patterns for the rest hold every piece.
@@ -117,6 +118,9 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     bound = float((lengths * demand).sum()) / capacity
     if x.sum() > bound * (1 + gap):
         inverse = np.linalg.inv(columns)
+        # idle columns get a little demand of their own, else pivots stall; it is rounded away again
+        x = x + np.where(x < 1e-6, np.random.default_rng(1).uniform(0.2, 0.6, len(x)), 0) * min(1.0, x.sum() / len(x) / 4)
+        bound = float((columns.T @ lengths) @ x) / capacity
         for _ in range(most):
             duals = inverse.sum(axis=0)
             value, a = price(lengths, duals, capacity)
@@ -137,7 +141,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     return np.rint(columns).astype(np.int64).T, x
 
 
-def cutting_stock(lengths, demand, capacity: int = 1024, gap: float = 0.001, most: int = 600) -> list[tuple[int, np.ndarray]]:
+def cutting_stock(lengths, demand, capacity: int = 1024, gap: float = 0.001, most: int = 1500) -> list[tuple[int, np.ndarray]]:
     """(copies, counts by length) of patterns that hold exactly ``demand`` pieces."""
     lengths, demand = np.asarray(lengths, np.int64), np.asarray(demand, np.int64)
     if not len(lengths):
@@ -191,25 +195,39 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0) ->
     )
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, gap: float = 0.001, most: int = 600) -> DataFrame:
-    """Place every piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, capacity: int = 1024, grain: int = 4, gap: float = 0.001, most: int = 1500) -> DataFrame:
+    """Place every piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Patterns are made of length classes ``grain`` tokens wide; offsets are
+    exact sums of the true lengths, which follow from ranks and the histogram.
+    """
     cut = pieces(docs, path, capacity)
     counts = durable(cut.groupBy("length", "part").count())
     hist = sorted((r["length"], r["n"]) for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect())
-    lengths = np.array([h[0] for h in hist], np.int64)
-    patterns = cutting_stock(lengths, [h[1] for h in hist], capacity, gap, most)
-    # slots of a length, in pattern order: rank range -> pattern copy and offset
-    key, first_seq, each, off, seq = [], [], [], [], 0
-    used = np.zeros(len(lengths), np.int64)
-    for copies, a in patterns:
-        at = 0
+    lengths, sizes = np.array([h[0] for h in hist], np.int64), np.array([h[1] for h in hist], np.int64)
+    ends = np.cumsum(sizes)  # pieces of all documents in order of length: where each length's end
+    begin = ends - sizes
+    classes, member = np.unique(-(-lengths // grain), return_inverse=True)
+    demand = np.bincount(member, sizes, len(classes)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(demand)])[:-1] if len(classes) else np.zeros(0, np.int64)
+    used = base.copy()
+    # units of patterns, in order: piece number of copy i is first + i * each + turn
+    slot_at, slot_unit, slot_seq = [], [], []
+    first, each, turn, seq = [], [], [], 0
+    for copies, a in cutting_stock(classes, demand, capacity // grain, gap, most):
+        start = len(first)
         for k in np.flatnonzero(a):
-            key.append((int(lengths[k]) << 48) + int(used[k])), first_seq.append(seq), each.append(int(a[k])), off.append(at)
-            used[k] += copies * a[k]
-            at += int(a[k] * lengths[k])
+            n = int(a[k])
+            slot_at.append(int(used[k])), slot_unit.append((start, len(first))), slot_seq.append(seq)
+            first += [int(used[k])] * n
+            each += [n] * n
+            turn += range(n)
+            used[k] += copies * n
         seq += copies
-    order = np.argsort(np.array(key, np.int64))
-    key, first_seq, each, off = (np.array(v, np.int64)[order] for v in (key, first_seq, each, off))
+    order = np.argsort(np.array(slot_at, np.int64))
+    slot_at, slot_seq = np.array(slot_at, np.int64)[order], np.array(slot_seq, np.int64)[order]
+    slot_unit = np.array(slot_unit, np.int64).reshape(-1, 2)[order]
+    first, each, turn = (np.array(v, np.int64) for v in (first, each, turn))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = durable(counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")))
     ranked = lookup_join(cut, counts, ["length", "part"])
@@ -217,12 +235,19 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, gap: float = 0.001, m
     def place(batches):
         for b in batches:
             n = b.column("length").to_numpy()
-            rank = b.column("base").to_numpy() + b.column("at").to_numpy()
-            j = np.searchsorted(key, (n << 48) + rank, "right") - 1
-            r = rank - (key[j] & ((1 << 48) - 1))
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in names], pa.array(first_seq[j] + r // each[j]), pa.array(off[j] + r % each[j] * n)], [*names, "sequence_id", "offset"]
-            )
+            number = begin[np.searchsorted(lengths, n)] + b.column("base").to_numpy() + b.column("at").to_numpy()
+            j = np.searchsorted(slot_at, number, "right") - 1
+            lead, unit = slot_unit[j, 0], slot_unit[j, 1]
+            copy, t = np.divmod(number - slot_at[j], each[unit])
+            unit = unit + t
+            offset, k = np.zeros(len(n), np.int64), np.flatnonzero(unit > lead)
+            u = lead.copy()
+            while len(k):
+                v = u[k]
+                offset[k] += lengths[np.searchsorted(ends, first[v] + copy[k] * each[v] + turn[v], "right")]
+                u[k] += 1
+                k = k[u[k] < unit[k]]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(slot_seq[j] + copy), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     kind = docs.schema["doc_id"].dataType.simpleString()

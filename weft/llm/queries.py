@@ -56,10 +56,49 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"))
 
 
+def op4_pack(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from weft.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), path or tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.warc import read_bundles, write_bundles
+
+    return read_bundles(write_bundles(_table(spark, sf_dir, "pages")))
+
+
+def _base32(hex40: str) -> str:
+    """SQL for the base-32 text of a 40-digit hex string: five digits make four letters."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    out = []
+    for k in range(8):
+        v = f"('0x' || substr({hex40}, {5 * k + 1}, 5))::INT"
+        out += [f"substr({letters}, ({v} // {32**p}) % 32 + 1, 1)" for p in (3, 2, 1, 0)]
+    return " || ".join(out)
+
+
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p)
+SELECT page_id, payload_bytes, {_base32("h")} AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM d
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
+    "op4_pack": op4_pack,
+    "op8_warc": op8_warc,
 }
 
-SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op8_warc": OP8_SQL}
