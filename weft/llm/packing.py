@@ -117,17 +117,20 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
     columns, x = first_basis(lengths, demand, capacity)
     bound = float((lengths * demand).sum()) / capacity
     if x.sum() > bound * (1 + gap):
-        inverse = np.linalg.inv(columns)
+        inverse = np.zeros_like(columns)  # of a triangular matrix; plain loops, as threaded BLAS calls may stall beside a JVM
+        for j in range(len(x)):
+            inverse[j, j] = 1 / columns[j, j]
+            inverse[:j, j] = -(inverse[:j, :j] * columns[:j, j]).sum(axis=1) / columns[j, j]
         # idle columns get a little demand of their own, else pivots stall; it is rounded away again
         x = x + np.where(x < 1e-6, np.random.default_rng(1).uniform(0.2, 0.6, len(x)), 0) * min(1.0, x.sum() / len(x) / 4)
-        bound = float((columns.T @ lengths) @ x) / capacity
+        bound = float(((columns.T * lengths).sum(axis=1) * x).sum()) / capacity
         for _ in range(most):
             duals = inverse.sum(axis=0)
             value, a = price(lengths, duals, capacity)
             bound = max(bound, x.sum() / max(value, 1.0))
             if value <= 1 + 1e-9 or x.sum() <= bound * (1 + gap):
                 break
-            u = inverse @ a
+            u = (inverse * a).sum(axis=1)
             grow = u > 1e-9
             ratio = np.where(grow, x / np.where(grow, u, 1), np.inf)
             r = int(ratio.argmin())
@@ -135,7 +138,7 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int, ga
             x = np.maximum(x - t * u, 0)
             x[r] = t
             pivot = inverse[r] / u[r]
-            inverse -= np.outer(u, pivot)
+            inverse -= u[:, None] * pivot
             inverse[r] = pivot
             columns[:, r] = a
     return np.rint(columns).astype(np.int64).T, x
