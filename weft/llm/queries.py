@@ -68,6 +68,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.quality import fit, judge, measure
+
+    measured = measure(_table(spark, sf_dir, "documents"))
+    return judge(measured, fit(measured, _table(spark, sf_dir, "labels")))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.warc import read_bundles, write_bundles
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
     "op4_pack": op4_pack,
+    "op7_quality": op7_quality,
     "op8_warc": op8_warc,
 }
 
