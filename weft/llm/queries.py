@@ -68,6 +68,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.quality import fit, judge, measure
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
     "op4_pack": op4_pack,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
 }
