@@ -156,17 +156,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
     edges = durable(classes.join(measured.select("d1", "d2", "doc_id").filter("doc_id is not null"), ["d1", "d2"]).filter("doc <> doc_id").select(F.col("doc").alias("u"), F.col("doc_id").alias("v")).distinct()) if _repeats(measured) else None
 
     def confirm(pairs):
-        pairs = durable(sketch_filter(durable(pairs.distinct()), nodes, k))
+        pairs = durable(sketch_filter(pairs, nodes, k))
         wanted = durable(pairs.select(F.col("a_doc").alias("doc")).unionByName(pairs.select(F.col("b_doc").alias("doc"))).distinct())
         return durable(verify(pairs, full_sets(docs, wanted, shingle)).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v")).distinct())
 
-    links = confirm(first_pairs(listed, cap, False))
+    pairs, entries = first_pairs(listed, cap, False)
+    links = confirm(pairs)
     if edges is not None:
         links = durable(links.unionByName(edges))
     comp = components(links)
     # long lists that still hold several groups are finished exactly
-    long_lists = listed.groupBy("v").count().filter(F.col("count") > cap).select("v")
-    entries = listed.join(long_lists, "v", "left_semi").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
+    entries = entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
     entries = durable(entries)
     mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("v")
     more = durable(rest_pairs(lists(entries.join(mixed, "v", "left_semi")), cap, False).distinct())

@@ -87,6 +87,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(write_bundles(_table(spark, sf_dir, "pages")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.linededup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def _base32(hex40: str) -> str:
     """SQL for the base-32 text of a 40-digit hex string: five digits make four letters."""
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op8_warc": OP8_SQL}

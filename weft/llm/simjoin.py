@@ -74,8 +74,11 @@ def _emit(cols, i, j):
     return pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["a_doc", "a_line", "b_doc", "b_line"])
 
 
-def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> DataFrame:
-    """Pairs (a before b): all of short lists, leader pairs of long ones."""
+def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a before b): all of short lists, leader pairs of long ones; and the entries of long lists.
+
+    One pass over the lists writes both, so the entries are dealt out once.
+    """
 
     def run(batches):
         for cols in _runs(batches, ["v", "doc", "line", "n", "pos"]):
@@ -113,8 +116,22 @@ def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> Da
                 ok = _fits(n[i], n[i + 1], pos[i], pos[i + 1], False)
                 if ok.any():
                     yield _emit(cols, i[ok], i[ok] + 1)
-
-    return listed.mapInArrow(run, PAIR)
+                yield [c[j] for c in cols]
+
+    def tagged(batches):
+        for x in run(batches):
+            if isinstance(x, list):
+                v, doc, line, n, pos = x
+                cols = [np.ones(len(v), np.int32), doc, line.astype(np.int32), v, n.astype(np.int32), pos.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+            else:
+                z = pa.array(np.zeros(x.num_rows, np.int32))
+                yield pa.RecordBatch.from_arrays([z, *x.columns, z], names)
+
+    names = ["kind", "a_doc", "a_line", "b_doc", "b_line", "pos"]
+    out = durable(listed.mapInArrow(tagged, f"kind int, {PAIR}, pos int"))
+    entries = out.filter("kind = 1").select(F.col("b_doc").alias("v"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), F.col("b_line").alias("n"), "pos")
+    return durable(out.filter("kind = 0").select("a_doc", "a_line", "b_doc", "b_line").distinct()), entries
 
 
 def rest_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> DataFrame:
