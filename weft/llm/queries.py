@@ -68,6 +68,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_lattice_score(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    from weft.llm.lattice import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), path or tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.minhash import near_duplicates
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
     "op4_pack": op4_pack,
+    "op5_lattice_score": op5_lattice_score,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
