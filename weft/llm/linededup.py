@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, durable, hashed_counts, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
-from weft.llm.simjoin import first_pairs, lists, prefix_length, rest_pairs, verify
+from weft.llm.simjoin import drawn_pairs, first_pairs, lists, mixed_lists, prefix_length, rest_pairs, verify
 
 
 class Lines:
@@ -122,14 +122,14 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
 
     pairs, entries = first_pairs(listed, cap)
     gone = confirm(pairs)
-    marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
-    # only a line that is not gone yet needs its earlier ones
-    marked = durable(marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.xxhash64("doc", "line").bitwiseAND(F.lit(2**62 - 1)))).drop("hit"))
-    still = marked.filter("g >= 0").select("v").distinct()
-    more = durable(rest_pairs(lists(marked.join(still, "v", "left_semi")), cap).distinct())
-    more = durable(more.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti"))
-    if more.count():
-        gone = durable(gone.unionByName(confirm(more)).distinct())
+    # only a line that is not gone yet needs its earlier ones: random ones first, then all that are left
+    for make in (lambda x: drawn_pairs(x, 1), lambda x: drawn_pairs(x, 2), rest_pairs):
+        marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
+        marked = marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.xxhash64("doc", "line").bitwiseAND(F.lit(2**62 - 1)))).drop("hit")
+        more = durable(make(mixed_lists(marked)).distinct())
+        more = durable(more.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").select(*more.columns))
+        if not more.isEmpty():
+            gone = durable(gone.unionByName(confirm(more)).distinct())
     # a class whose first line is gone goes whole; else its later copies go
     hit = classes.filter("copies > 1").select("d1", "d2", F.col("at.doc").alias("f_doc"), F.col("at.line").alias("f_line"))
     copies = table.select("doc", "line", "d1", "d2").join(hit, ["d1", "d2"]).filter("doc <> f_doc or line <> f_line").select("doc", "line")

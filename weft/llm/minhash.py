@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, durable, hashed_counts, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest, windows
-from weft.llm.simjoin import NUM, DEN, components, first_pairs, lists, rest_pairs, verify
+from weft.llm.simjoin import NUM, DEN, components, drawn_pairs, first_pairs, lists, mixed_lists, rest_pairs, verify
 
 K = 64
 
@@ -165,15 +165,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
     if edges is not None:
         links = durable(links.unionByName(edges))
     comp = components(links)
-    # long lists that still hold several groups are finished exactly
-    entries = entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
-    entries = durable(entries)
-    mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("v")
-    more = durable(rest_pairs(lists(entries.join(mixed, "v", "left_semi")), cap, False).distinct())
-    if more.count():
+    # long lists that still hold several groups: random partners join most, the rest is finished exactly
+    grouped = lambda: entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
+    for make in (lambda x: drawn_pairs(x, 1), lambda x: drawn_pairs(x, 2), rest_pairs):
+        more = durable(make(mixed_lists(grouped())).distinct())
+        if more.isEmpty():
+            continue
         more = confirm(more)
-        if more.count():
-            comp = components(links.unionByName(more))
+        if not more.isEmpty():
+            links = durable(links.unionByName(more))
+            comp = components(links)
     of_class = durable(classes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("comp", "doc").alias("component")))
     out = measured.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")

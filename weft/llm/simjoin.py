@@ -134,32 +134,78 @@ def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> tu
     return durable(out.filter("kind = 0").select("a_doc", "a_line", "b_doc", "b_line").distinct()), entries
 
 
-def rest_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> DataFrame:
-    """What first_pairs leaves of long lists: entries have ``g``; pairs whose g differ and are not both below 0.
+def mixed_lists(entries: DataFrame) -> DataFrame:
+    """Entries of long lists that hold more than one group ``g``, dealt and sorted like lists.
 
-    Works a block of rows against the whole list, so memory follows the list, not its square.
+    Each entry carries ``vs``, its node's values in such lists (ascending longs
+    as binary), by which a pair that meets in many lists is made in one only.
+    """
+    mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("v")
+    entries = durable(entries.join(mixed, "v", "left_semi"))
+    mine = entries.groupBy("doc", "line").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    return durable(lists(entries.join(mine, ["doc", "line"])))
+
+
+def _outside(gs: np.ndarray) -> np.ndarray:
+    """Places of a list that aren't of its most frequent group."""
+    names, counts = np.unique(gs, return_counts=True)
+    return np.flatnonzero(gs != names[counts.argmax()])
+
+
+def drawn_pairs(listed: DataFrame, seed: int) -> DataFrame:
+    """One random partner of another group in each long list, for every node outside the list's main group.
+
+    In a hot group of near copies most nodes find a link this way, so that
+    rest_pairs has few nodes left to compare with whole lists.
     """
 
     def run(batches):
-        for cols in _runs(batches, ["v", "doc", "line", "n", "pos", "g"]):
-            v, n, pos, g = cols[0], cols[3], cols[4], cols[5]
+        for v, doc, line, n, g in _runs(batches, ["v", "doc", "line", "n", "g"]):
             start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            size = np.diff(np.r_[start, len(v)])
-            for s, k in zip(start[size > cap], size[size > cap], strict=True):
+            for s, k in zip(start, np.diff(np.r_[start, len(v)]), strict=True):
+                x = _outside(g[s : s + k])
+                if len(x):
+                    y = np.random.default_rng([seed, int(v[s]) & (2**63 - 1)]).integers(0, k, len(x))
+                    i, j = s + np.minimum(x, y), s + np.maximum(x, y)
+                    ok = (g[i] != g[j]) & _fits(n[i], n[j], 0, 0, False)
+                    if ok.any():
+                        yield _emit([v, doc, line], i[ok], j[ok])
+
+    return listed.mapInArrow(run, PAIR)
+
+
+def rest_pairs(listed: DataFrame) -> DataFrame:
+    """All pairs of different groups in mixed lists, each in the list of its smallest shared value.
+
+    The main group of a list is one side only; a node outside it is compared
+    with the list in one vectorised step, so memory follows the list.
+    """
+
+    def run(batches):
+        for v, doc, line, n, g, vs in _runs(batches, ["v", "doc", "line", "n", "g", "vs"]):
+            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            for s, k in zip(start, np.diff(np.r_[start, len(v)]), strict=True):
                 gs = g[s : s + k]
-                if (gs == gs[0]).all():
+                few = _outside(gs)
+                if not len(few):
                     continue
-                # the most frequent group is one side only
-                names, counts = np.unique(gs, return_counts=True)
-                few = np.flatnonzero(gs != names[counts.argmax()])
-                for at in range(0, len(few), 256):
-                    x = few[at : at + 256]
-                    i, j = np.repeat(x, k), np.tile(np.arange(k), len(x))
-                    ok = (gs[i] != gs[j]) & ((gs[j] == names[counts.argmax()]) | (i < j))
-                    i, j = s + np.minimum(i, j)[ok], s + np.maximum(i, j)[ok]
-                    ok = _fits(n[i], n[j], pos[i], pos[j], positional)
-                    if ok.any():
-                        yield _emit(cols, i[ok], j[ok])
+                out = np.zeros(k, bool)
+                out[few] = True
+                each = [np.asarray(x, np.int64) for x in vs[s : s + k]]
+                first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
+                names, codes = np.unique(np.concatenate(each), return_inverse=True)
+                here = int(np.searchsorted(names, v[s]))
+                left, right = [], []
+                for x in few:
+                    mask = np.zeros(len(names), bool)
+                    mask[codes[first[x] : first[x + 1]]] = True
+                    least = np.minimum.reduceat(np.where(mask[codes], codes, len(names)), first[:-1])
+                    y = np.flatnonzero((least == here) & (gs != gs[x]) & (~out | (np.arange(k) > x)))
+                    y = y[_fits(n[s + x], n[s + y], 0, 0, False)]
+                    left.append(np.minimum(x, y)), right.append(np.maximum(x, y))
+                i, j = s + np.concatenate(left), s + np.concatenate(right)
+                if len(i):
+                    yield _emit([v, doc, line], i, j)
 
     return listed.mapInArrow(run, PAIR)
 
