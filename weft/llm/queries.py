@@ -93,6 +93,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(write_bundles(_table(spark, sf_dir, "pages")))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.linededup import report
 
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
+    "op9_nearest": op9_nearest,
     "op10_line_dedup": op10_line_dedup,
 }
 
