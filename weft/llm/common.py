@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -162,41 +163,42 @@ class Bloom:
         return ok
 
 
+PAGE = 1 << 13
+
+
+def count_pages(acc: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A task's counters as compressed pages: numbers and bytes of those that aren't all 0."""
+    pages = acc.reshape(-1, PAGE)
+    hit = np.flatnonzero(pages.any(axis=1))
+    return pa.array(hit.astype(np.int32)), pa.array([zlib.compress(pages[i].astype("<u4").tobytes(), 1) for i in hit], pa.binary())
+
+
+def add_pages(pages: DataFrame, log2: int) -> np.ndarray:
+    """Sum of the tasks' counters (page int, c binary): added by page, then one bounded table comes to the driver."""
+
+    def add(key, table):
+        acc = np.zeros(PAGE, np.int64)
+        for v in table.column("c"):
+            acc += np.frombuffer(zlib.decompress(v.as_py()), "<u4")
+        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([zlib.compress(np.minimum(acc, 2**32 - 1).astype("<u4").tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(1 << log2, np.int64)
+    for r in pages.groupBy("page").applyInArrow(add, "page int, c binary").toLocalIterator():
+        out[r["page"] * PAGE : (r["page"] + 1) * PAGE] += np.frombuffer(zlib.decompress(bytes(r["c"])), "<u4")
+    return out
+
+
 def hashed_counts(df: DataFrame, emit, log2: int) -> np.ndarray:
     """Counts of 64-bit keys over all rows, folded into 2**log2 counters.
 
     ``emit(batches)`` yields uint64 arrays. A counter is an upper bound of its
-    keys' counts. Each task adds its keys up first; counters travel in
-    compressed pages and are added by page; the driver gets the one bounded
-    table.
+    keys' counts (up to 2**32 - 1). Each task adds its keys up first.
     """
-    import zlib
-
-    page = 1 << 13
 
     def fold(batches):
         acc = np.zeros(1 << log2, np.int64)
         for keys in emit(batches):
             acc += np.bincount((keys >> np.uint64(64 - log2)).astype(np.int64), minlength=1 << log2)
-        pages = acc.reshape(-1, page)
-        hit = np.flatnonzero(pages.any(axis=1))
-        wide = np.uint16 if acc.size and acc.max() < 1 << 16 else np.uint32 if acc.size and acc.max() < 1 << 32 else np.int64
-        yield pa.record_batch(
-            {
-                "page": pa.array(hit.astype(np.int32)),
-                "width": pa.array([np.dtype(wide).itemsize] * len(hit), pa.int32()),
-                "c": pa.array([zlib.compress(pages[i].astype(wide).tobytes(), 1) for i in hit], pa.binary()),
-            }
-        )
+        yield pa.RecordBatch.from_arrays(list(count_pages(acc)), ["page", "c"])
 
-    def add(key, table):
-        acc = np.zeros(page, np.int64)
-        for w, v in zip(table.column("width").to_pylist(), table.column("c"), strict=True):
-            acc += np.frombuffer(zlib.decompress(v.as_py()), {2: np.uint16, 4: np.uint32, 8: np.int64}[w]).astype(np.int64)
-        return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "c": pa.array([zlib.compress(acc.tobytes(), 1)], pa.binary())})
-
-    out = np.zeros(1 << log2, np.int64)
-    summed = df.mapInArrow(fold, "page int, width int, c binary").groupBy("page").applyInArrow(add, "page int, c binary")
-    for r in summed.toLocalIterator():
-        out[r["page"] * page : (r["page"] + 1) * page] += np.frombuffer(zlib.decompress(bytes(r["c"])), np.int64)
-    return out
+    return add_pages(df.mapInArrow(fold, "page int, c binary"), log2)

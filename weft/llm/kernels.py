@@ -118,11 +118,12 @@ def distinct(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
         for a, b in zip(np.r_[0, cut], np.r_[cut, n], strict=True):
             v[a:b].sort()
     else:
-        order = np.argsort(values)
-        rank = np.zeros(n, np.int64)
+        # one sort of (group, leading bits of the value); values that differ are never merged
+        bits = U(max(1, len(cut)).bit_length())
+        rank = np.zeros(n, U)
         rank[cut] = 1
-        rank = np.cumsum(rank)[order]
-        order = order[np.argsort(rank.astype(np.uint16) if len(cut) < 65_000 else rank, kind="stable")]
+        np.cumsum(rank, out=rank)
+        order = np.argsort((rank << (U(64) - bits)) | (values >> bits))
         v, g = values[order], group[order]
     keep = np.ones(n, bool)
     keep[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])

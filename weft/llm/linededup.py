@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Bloom, durable, hashed_counts, longs, slices, strings
+from weft.llm.common import Bloom, add_pages, count_pages, durable, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
 from weft.llm.simjoin import drawn_pairs, first_pairs, lists, mixed_lists, prefix_length, rest_pairs, verify
 
@@ -59,61 +59,101 @@ def _node(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + line.astype(U))
 
 
-def line_table(docs: DataFrame, min_words: int, log2: int) -> tuple[DataFrame, object]:
-    """Durable doc, line, n, digest and rarity-ordered prefix of every line of ``min_words`` words or more."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    def words(batches):
+
+def line_table(docs: DataFrame, min_words: int, log2: int) -> tuple[DataFrame, np.ndarray]:
+    """Durable (doc, line, n, d1, d2) of every line of ``min_words`` words or more, and hashed word counts."""
+
+    def run(batches):
+        acc = np.zeros(1 << log2, np.int64)
         for b in batches:
             data, offsets = strings(b.column("text"))
+            ids = b.column("doc_id").to_numpy()
             for i, j in slices(offsets):
-                yield mix(Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1]).word)
-
-    counts = hashed_counts(docs.select("text"), words, log2)
+                x = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                acc += np.bincount((mix(x.word) >> U(64 - log2)).astype(np.int64), minlength=1 << log2)
+                n = np.diff(x.at)
+                d1, d2 = set_digest(x.word, x.at)
+                use = np.flatnonzero(n >= min_words)
+                m = len(use)
+                cols = [pa.array(ids[i + x.doc[use]]), pa.array(x.number[use].astype(np.int32)), pa.array(n[use].astype(np.int32)), longs(d1[use]), longs(d2[use])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        page, c = count_pages(acc)
+        m = len(page)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], page, c], names)
+
+    names = ["doc", "line", "n", "d1", "d2", "page", "c"]
+    told = durable(_rows(docs).mapInArrow(run, "doc bigint, line int, n int, d1 bigint, d2 bigint, page int, c binary"))
+    counts = add_pages(told.filter("page is not null").select("page", "c"), log2)
+    return told.filter("page is null").drop("page", "c"), counts
+
+
+def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, firsts: np.ndarray, min_words: int, log2: int) -> DataFrame:
+    """Inverted-list entries of the prefix of each distinct line, with a 128-bit signature of its words.
+
+    ``several`` and ``firsts`` are Bloom filters of the sets that occur on
+    several lines and of the first of such lines: later copies are left out (a
+    filter's false yes lets one in, which costs time only).
+    """
     rank = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
-    bound = docs.sparkSession.sparkContext.broadcast(rank)
+    bound = docs.sparkSession.sparkContext.broadcast((rank, several, firsts))
 
     def run(batches):
-        rank = bound.value
+        rank, several, firsts = bound.value
+        several, firsts = Bloom(several), Bloom(firsts)
         for b in batches:
             data, offsets = strings(b.column("text"))
-            ids = b.column("doc_id")
+            ids = b.column("doc_id").to_numpy()
             for i, j in slices(offsets):
                 x = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 n = np.diff(x.at)
-                d1, d2 = set_digest(x.word, x.at)
+                d1, _ = set_digest(x.word, x.at)
+                doc = ids[i + x.doc]
                 use = np.flatnonzero(n >= min_words)
-                rare = rank[(mix(x.word) >> U(64 - log2)).astype(np.int64)]
-                order = np.lexsort((rare, x.line)) if len(x.line) < 64 else _by_line(rare, x.line)
+                use = use[~several.has(d1[use]) | firsts.has(_node(doc[use], x.number[use]))]
+                spread = mix(x.word)
+                rare = rank[(spread >> U(64 - log2)).astype(np.int64)]
+                order = np.argsort((x.line.astype(U) << U(32)) | rare.astype(U), kind="stable")
+                bit = spread & U(127)
+                one = U(1) << (bit & U(63))
+                cut = np.minimum(x.at[:-1], max(len(one) - 1, 0))
+                empty = n == 0
+                sig = []
+                for half in (0, 1):
+                    o = np.where((bit >> U(6)) == half, one, U(0))
+                    s = np.bitwise_or.reduceat(o, cut) if len(o) else np.zeros(len(n), U)
+                    s[empty] = 0
+                    sig.append(s)
                 size = prefix_length(n[use])
                 first = np.concatenate([[0], np.cumsum(size)])
-                take = order[np.repeat(x.at[use] - first[:-1], size) + np.arange(first[-1])]
-                # a counter of 1 says that no other line has the word: the list would hold this line alone
-                v = x.word[take].copy()
-                v[rare[take] == 1] = 0
+                pos = np.arange(first[-1]) - np.repeat(first[:-1], size)
+                take = order[np.repeat(x.at[use], size) + pos]
+                line = np.repeat(use, size)
+                keep = rare[take] > 1  # a counter of 1 says that no other line has the word
+                take, line, pos = take[keep], line[keep], pos[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(i + x.doc[use])), pa.array(x.number[use].astype(np.int32)), pa.array(n[use].astype(np.int32)), longs(d1[use]), longs(d2[use]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), longs(v))],
-                    ["doc", "line", "n", "d1", "d2", "prefix"],
+                    [longs(x.word[take]), pa.array(doc[line]), pa.array(x.number[line].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((pos + 1).astype(np.int32)), longs(sig[0][line]), longs(sig[1][line])],
+                    ["v", "doc", "line", "n", "pos", "s1", "s2"],
                 )
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return durable(rows.mapInArrow(run, "doc bigint, line int, n int, d1 bigint, d2 bigint, prefix array<bigint>"))
+    return _rows(docs).mapInArrow(run, "v bigint, doc bigint, line int, n int, pos int, s1 bigint, s2 bigint")
 
 
-def _by_line(rare: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Order by (line, rarity, hash); ``line`` and hashes within it ascend already."""
-    key = (line.astype(np.int64) << 32) | rare.astype(np.int64)
-    return np.argsort(key, kind="stable")
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(doc, line) as one hashed key each."""
+    return nodes.select("doc", "line").mapInArrow(
+        lambda it: (pa.RecordBatch.from_arrays([longs(_node(b.column("doc").to_numpy(), b.column("line").to_numpy()))], ["k"]) for b in it), "k bigint"
+    )
 
 
-def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 21) -> DataFrame:
+def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 20) -> DataFrame:
     """Durable (doc, line) of the lines that an earlier line matches."""
-    table = line_table(docs, min_words, log2)
-    classes = durable(
-        table.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
-    )
-    # sets that other classes may resemble, at their first line
-    entries = classes.select("at.doc", "at.line", "n", F.posexplode("prefix").alias("pos", "v")).filter("v <> 0")
-    entries = entries.select("v", "doc", "line", "n", (F.col("pos") + 1).cast("int").alias("pos"))
+    table, counts = line_table(docs, min_words, log2)
+    sets = table.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("copies"))
+    several = durable(sets.filter("copies > 1").select("d1", "d2", "at.doc", "at.line"))
+    entries = line_entries(docs, counts, Bloom.collect(several, "d1").bits, Bloom.collect(_keys(several), "k").bits, min_words, log2)
     listed = lists(entries)
 
     def confirm(pairs):
@@ -130,19 +170,16 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
         more = durable(more.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").select(*more.columns))
         if not more.isEmpty():
             gone = durable(gone.unionByName(confirm(more)).distinct())
-    # a class whose first line is gone goes whole; else its later copies go
-    hit = classes.filter("copies > 1").select("d1", "d2", F.col("at.doc").alias("f_doc"), F.col("at.line").alias("f_line"))
-    copies = table.select("doc", "line", "d1", "d2").join(hit, ["d1", "d2"]).filter("doc <> f_doc or line <> f_line").select("doc", "line")
+    # of a set on several lines all but the first go
+    first = several.select("d1", "d2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
+    copies = table.select("doc", "line", "d1", "d2").join(first, ["d1", "d2"]).filter("doc <> f_doc or line <> f_line").select("doc", "line")
     return durable(gone.unionByName(copies).distinct())
 
 
 def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, line, s) of the wanted lines; bounded Bloom filters spare other documents and lines the work."""
     by_doc = Bloom.collect(wanted, "doc").bits
-    keyed = wanted.mapInArrow(
-        lambda it: (pa.RecordBatch.from_arrays([longs(_node(b.column("doc").to_numpy(), b.column("line").to_numpy()))], ["k"]) for b in it), "k bigint"
-    )
-    by_line = Bloom.collect(durable(keyed), "k").bits
+    by_line = Bloom.collect(_keys(wanted), "k").bits
     bound = docs.sparkSession.sparkContext.broadcast((by_doc, by_line))
 
     def run(batches):
@@ -165,8 +202,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 blob = pa.Array.from_buffers(pa.binary(), len(use), [None, off, pa.py_buffer(s.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(x.number[use].astype(np.int32)), blob], ["doc", "line", "s"])
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = rows.mapInArrow(run, "doc bigint, line int, s binary")
+    found = _rows(docs).mapInArrow(run, "doc bigint, line int, s binary")
     return durable(found.join(wanted.select("doc", "line"), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]))
 
 

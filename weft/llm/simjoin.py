@@ -36,22 +36,30 @@ def lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("v").sortWithinPartitions("v", "doc", "line")
 
 
-def _runs(batches, columns):
-    """Batches re-cut so that no list is split: tuples of numpy columns, with list starts."""
-    held = None
+def _runs(batches, columns, rows: int = 100_000):
+    """Batches joined and re-cut so that no list is split: tuples of numpy columns."""
+    held, n = [], 0
     for b in batches:
-        if not b.num_rows:
+        if b.num_rows:
+            held.append([b.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            n += b.num_rows
+        if n < rows:
             continue
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if held is not None:
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        v = cols[0]
-        last = int(np.searchsorted(v, v[-1], "left"))
-        held = [c[last:] for c in cols]
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        held, n = [[c[last:] for c in cols]], len(cols[0]) - last
         if last:
             yield [c[:last] for c in cols]
-    if held is not None:
-        yield held
+        else:
+            rows = max(rows, 2 * n)  # a list longer than that: gather more before looking again
+    if n:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _unlike(i, j, n, s1, s2):
+    """Whether two sets' 128-bit word signatures differ in more bits than similar sets can have different values."""
+    apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+    return apart > (DEN - NUM) * (n[i].astype(np.int64) + n[j]) // (DEN + NUM)
 
 
 def _fits(na, nb, pa_, pb, positional):
@@ -74,49 +82,70 @@ def _emit(cols, i, j):
     return pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["a_doc", "a_line", "b_doc", "b_line"])
 
 
-def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True) -> tuple[DataFrame, DataFrame]:
+def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True, dense: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a before b): all of short lists, leader pairs of long ones; and the entries of long lists.
 
-    One pass over the lists writes both, so the entries are dealt out once.
+    With signatures (columns s1, s2) lists of up to ``dense`` entries are
+    compared in full, block by block, and count as long only if most of their
+    pairs might be similar. One pass over the lists writes both results, so the
+    entries are dealt out once.
     """
+    signed = "s1" in listed.columns
 
     def run(batches):
-        for cols in _runs(batches, ["v", "doc", "line", "n", "pos"]):
-            v, n, pos = cols[0], cols[3], cols[4]
+        for cols in _runs(batches, ["v", "doc", "line", "n", "pos", *(["s1", "s2"] if signed else [])]):
+            v, doc, line, n, pos, *sig = cols
+            sig = [x.view(np.uint64) for x in sig]
+
+            def good(i, j, positional=positional, n=n, pos=pos, sig=sig):
+                ok = np.flatnonzero(_fits(n[i], n[j], pos[i], pos[j], positional))
+                if signed and len(ok):
+                    ok = ok[~_unlike(i[ok], j[ok], n, *sig)]
+                return ok
+
             m = len(v)
             start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
             size = np.diff(np.r_[start, m])
             place = np.arange(m) - np.repeat(start, size)
             length = np.repeat(size, size)
-            short = length <= cap
+            left, right = [], []
             for d in range(1, int(min(cap, size.max(initial=1)))):
-                j = np.flatnonzero(short & (place >= d))
-                i = j - d
-                ok = _fits(n[i], n[j], pos[i], pos[j], positional)
-                if ok.any():
-                    yield _emit(cols, i[ok], j[ok])
+                j = np.flatnonzero((length <= cap) & (place >= d))
+                ok = good(j - d, j)
+                left.append(j[ok] - d), right.append(j[ok])
             for s, k in zip(start[size > cap], size[size > cap], strict=True):
+                if signed and k <= dense:
+                    a, z, many = [], [], 0
+                    for at in range(0, k, 256):
+                        x = np.arange(at, min(k, at + 256))
+                        i, j = np.repeat(x, k - at), np.tile(np.arange(at, k), len(x))
+                        i, j = s + i[j > i], s + j[j > i]
+                        ok = good(i, j)
+                        a.append(i[ok]), z.append(j[ok])
+                        many += len(ok)
+                        if many > 8 * k:
+                            break
+                    if many <= 8 * k:
+                        left += a
+                        right += z
+                        continue
                 j = np.arange(s, s + k)
-                lead = {}
                 band = np.floor(np.log(n[j]) / np.log(DEN / NUM) * 2).astype(np.int64)
-                first = np.full(k, -1)
                 for b in np.unique(band):
                     for near in (b - 1, b):  # a leader of the band, and of the next shorter one
                         at = np.flatnonzero(band == near)
                         if len(at):
-                            lead.setdefault(near, s + at[0])
-                            first[band == b] = lead[near]
                             o = j[band == b]
-                            a, z = np.minimum(o, lead[near]), np.maximum(o, lead[near])
-                            ok = (a != z) & _fits(n[a], n[z], pos[a], pos[z], False)
-                            if ok.any():
-                                yield _emit(cols, a[ok], z[ok])
+                            a, z = np.minimum(o, s + at[0]), np.maximum(o, s + at[0])
+                            a, z = a[a != z], z[a != z]
+                            ok = good(a, z, False)
+                            left.append(a[ok]), right.append(z[ok])
                 # neighbours in order of node: copies made one after another
-                i = j[:-1]
-                ok = _fits(n[i], n[i + 1], pos[i], pos[i + 1], False)
-                if ok.any():
-                    yield _emit(cols, i[ok], i[ok] + 1)
-                yield [c[j] for c in cols]
+                ok = good(j[:-1], j[1:], False)
+                left.append(j[:-1][ok]), right.append(j[1:][ok])
+                yield [c[j] for c in cols[:5]]
+            if left and (i := np.concatenate(left)).size:
+                yield _emit(cols, i, np.concatenate(right))
 
     def tagged(batches):
         for x in run(batches):
