@@ -163,7 +163,7 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
     pairs, entries = first_pairs(listed, cap)
     gone = confirm(pairs)
     # only a line that is not gone yet needs its earlier ones: random ones first, then all that are left
-    for make in (lambda x: drawn_pairs(x, 1), lambda x: drawn_pairs(x, 2), rest_pairs):
+    for make in (lambda x: drawn_pairs(x, 1), rest_pairs):
         marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
         marked = marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.xxhash64("doc", "line").bitwiseAND(F.lit(2**62 - 1)))).drop("hit")
         more = durable(make(mixed_lists(marked)).distinct())

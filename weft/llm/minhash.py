@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
     comp = components(links)
     # long lists that still hold several groups: random partners join most, the rest is finished exactly
     grouped = lambda: entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
-    for make in (lambda x: drawn_pairs(x, 1), lambda x: drawn_pairs(x, 2), rest_pairs):
+    for make in (lambda x: drawn_pairs(x, 1), rest_pairs):
         more = durable(make(mixed_lists(grouped())).distinct())
         if more.isEmpty():
             continue

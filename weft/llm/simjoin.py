@@ -260,13 +260,47 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, PAIR)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, comp): the smallest node reachable, by alternating large-star and small-star steps.
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of some edges and the smallest node each reaches: hooking and pointer jumping."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return names, names[root]
+        hi, lo = np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """A task's edges as stars of its own components: the same reachability in at most one edge a node."""
 
-    ``edges``: (u, v) longs. Each step is one shuffle; stars meet in groups that
-    only hold a node's neighbours, and hubs are pre-aggregated by min.
+    def run(batches):
+        got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+        if got:
+            node, comp = _roots(*(np.concatenate(x) for x in zip(*got, strict=True)))
+            keep = node != comp
+            yield pa.RecordBatch.from_arrays([pa.array(comp[keep]), pa.array(node[keep])], ["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+
+
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = 1_000_000) -> DataFrame:
+    """(node, comp): the smallest node reachable; ``edges``: (u, v) longs.
+
+    Tasks first contract their own edges. If at most ``one_task`` edges are
+    left (counted, 16 MB), one task finishes; more go through alternating
+    large-star and small-star steps, each a shuffle by node.
     """
-    e = durable(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    e = durable(_contract(edges.filter("u <> v")))
+    n = e.count()
+    if n <= one_task:
+        return durable(_contract(e.coalesce(1)).select(F.col("v").alias("node"), F.col("u").alias("comp")))
+    e = durable(e.distinct())
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
