@@ -88,7 +88,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges whose texts hold about ``most`` bytes; one longer text is a range of its own."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -32,13 +32,18 @@ def prefix_length(n):
 
 
 def lists(entries: DataFrame) -> DataFrame:
-    """Entries (v, doc, line, n, pos, ...) dealt by value and sorted by value, then node."""
-    return entries.repartition("v").sortWithinPartitions("v", "doc", "line")
+    """Entries (v, doc, line, n, pos, ...) dealt by value and sorted by value (one long: a radix sort); kernels order lists by node."""
+    return entries.repartition("v").sortWithinPartitions("v")
 
 
 def _runs(batches, columns, rows: int = 100_000):
     """Batches joined and re-cut so that no list is split: tuples of numpy columns."""
     held, n = [], 0
+
+    def cut(cols):
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        return [c[order] for c in cols]
+
     for b in batches:
         if b.num_rows:
             held.append([b.column(c).to_numpy(zero_copy_only=False) for c in columns])
@@ -49,11 +54,11 @@ def _runs(batches, columns, rows: int = 100_000):
         last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
         held, n = [[c[last:] for c in cols]], len(cols[0]) - last
         if last:
-            yield [c[:last] for c in cols]
+            yield cut([c[:last] for c in cols])
         else:
             rows = max(rows, 2 * n)  # a list longer than that: gather more before looking again
     if n:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield cut([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def _unlike(i, j, n, s1, s2):
