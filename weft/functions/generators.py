@@ -123,26 +123,5 @@ def codon_usage(counts: dict) -> dict:
     return {f"{CODONS[c]}_{c}": n / total[CODONS[c]] for c, n in counts.items() if CODONS[c] != "*" and total[CODONS[c]]}
 
 
-def closed_ternary(bits: int = 3) -> Machine:
-    """Blocks of bits as two-trit symbols, an open block closed by a symbol of its own, written by base rotation."""
-    from weft.functions.presets import base_rotation
-    from weft.operators import graph as G
-
-    pair = lambda v: f"{v // 3}{v % 3}"
-    opens = [b for k in range(bits) for b in map("".join, itertools.product("01", repeat=k))]
-    # the last symbol names what is open; blocks use the first 2**bits values
-    last = {"": "20", "0": "02", "1": "12"} | {b: pair(int(b, 2)) for b in opens if len(b) == bits - 1}
-    states: dict = {}
-    for b in opens:
-        name = f"P{b}" if b else "START"
-        to = [(f"P{b}{x}", x, "") if len(b) < bits - 1 else ("START", x, pair(int(b + x, 2))) for x in "01"]
-        states[name] = [*to, ("STOP", "", last[b])]
-    states["STOP"] = []
-    split = {"S": [(f"t{p}", p, p[0]) for p in map("".join, itertools.product("012", repeat=2))] + [("E", "", "")]}
-    split |= {f"t{p}": [("S", "", p[1])] for p in map("".join, itertools.product("012", repeat=2))}
-    split["E"] = []
-    return G.compose(G.compose(by_id(states), by_id(split)), base_rotation())
-
-
 def echo_bits() -> Machine:
     return Machine([[Edge(0, "0", "0"), Edge(0, "1", "1")]])

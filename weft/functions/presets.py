@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import string
 
 from weft.operators import algebra as A
 from weft.plans.machine import Edge, Machine
@@ -274,9 +273,7 @@ PRESETS = {
     "add-intron-placeholders": lambda: introns("placeholders"),
     "noreps": no_repeats,
     "pint": intron_marks,
-    "nontern": lambda: __import__("weft.functions.generators", fromlist=["x"]).closed_ternary(),
 }
-assert set(string.ascii_uppercase) >= set(AMINO)
 
 
 def preset(name: str) -> Machine:

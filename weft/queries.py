@@ -449,3 +449,17 @@ def prefix_decode(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", S.chars(F.conv(F.col("p_size").cast("string"), 10, 2)).alias("x"))
     e = D.decode(p, preset("hamming31"), "x", "viterbi", encode=True).select("p_partkey", "x", F.col("decoded").alias("y"))
     return D.decode(e, preset("hamming31"), "y", "prefix").select("p_partkey", F.array_join("x", "").alias("bits"), F.array_join("decoded", "").alias("decoded"))
+
+
+@query()
+def fused_plan7(spark, sf_dir):
+    """A small profile with flanks, written through a noisy copier, against order keys as bases."""
+    from weft.operators.position import fused_score
+
+    stay = {"mm": 0.9, "mi": 0.05, "md": 0.05, "im": 0.7, "ii": 0.3, "dm": 0.8, "dd": 0.2}
+    emit = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1], [0.1, 0.1, 0.1, 0.7]]
+    nodes = [{"ins": [0.25] * 4, **stay}, *[{"match": e, "ins": [0.25] * 4, **stay} for e in emit]]
+    profile = S.hmmer_machine({"alphabet": list("ACGT"), "nodes": nodes}, "plan7", True, 20)
+    noise = Machine([[Edge(0, a, b, 0.94 if a == b else 0.02) for a in "ACGT" for b in "ACGT"]])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", S.chars(dna(F.col("o_orderkey").cast("string"))).alias("y"))
+    return rounded(fused_score(o, profile, noise, "y").select("o_orderkey", "loglike"), "loglike")
