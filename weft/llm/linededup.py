@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, add_pages, count_pages, durable, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
-from weft.llm.simjoin import drawn_pairs, first_pairs, lists, mixed_lists, prefix_length, rest_pairs, verify
+from weft.llm.simjoin import finish, first_pairs, hot_groups, lists, prefix_length, verify
 
 
 class Lines:
@@ -162,14 +162,14 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
 
     pairs, entries = first_pairs(listed, cap)
     gone = confirm(pairs)
-    # only a line that is not gone yet needs its earlier ones: random ones first, then all that are left
-    for make in (lambda x: drawn_pairs(x, 1), rest_pairs):
-        marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left")
-        marked = marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.xxhash64("doc", "line").bitwiseAND(F.lit(2**62 - 1)))).drop("hit")
-        more = durable(make(mixed_lists(marked)).distinct())
-        more = durable(more.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").select(*more.columns))
-        if not more.isEmpty():
-            gone = durable(gone.unionByName(confirm(more)).distinct())
+    # a line that is not gone yet needs all earlier ones of its hot group
+    marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left").withColumn("id", F.xxhash64("doc", "line"))
+    marked = marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.col("id").bitwiseAND(F.lit(2**62 - 1)))).drop("hit")
+    hot = hot_groups(marked)
+    # lines that are gone are only looked at
+    hot = hot.withColumn("main", F.lit(-1).cast("long"))
+    if not hot.isEmpty():
+        gone = durable(gone.unionByName(finish(hot, line_sets(docs, hot), True).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))).distinct())
     # of a set on several lines all but the first go
     first = several.select("d1", "d2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
     copies = table.select("doc", "line", "d1", "d2").join(first, ["d1", "d2"]).filter("doc <> f_doc or line <> f_line").select("doc", "line")

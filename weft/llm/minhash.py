@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, durable, hashed_counts, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest, windows
-from weft.llm.simjoin import NUM, DEN, components, drawn_pairs, first_pairs, lists, mixed_lists, rest_pairs, verify
+from weft.llm.simjoin import DEN, NUM, components, finish, first_pairs, hot_groups, lists, verify
 
 K = 64
 
@@ -165,16 +165,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
     if edges is not None:
         links = durable(links.unionByName(edges))
     comp = components(links)
-    # long lists that still hold several groups: random partners join most, the rest is finished exactly
-    grouped = lambda: entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
-    for make in (lambda x: drawn_pairs(x, 1), rest_pairs):
-        more = durable(make(mixed_lists(grouped())).distinct())
-        if more.isEmpty():
-            continue
-        more = confirm(more)
+    # hot groups that still hold several components are finished exactly
+    open_ = entries.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("comp", "doc")).drop("comp")
+    hot = hot_groups(open_.withColumn("id", F.col("doc")))
+    if not hot.isEmpty():
+        more = finish(hot, full_sets(docs, hot, shingle), False).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
         if not more.isEmpty():
-            links = durable(links.unionByName(more))
-            comp = components(links)
+            comp = components(links.unionByName(more))
     of_class = durable(classes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("comp", "doc").alias("component")))
     out = measured.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")

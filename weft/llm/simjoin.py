@@ -4,7 +4,8 @@ Nodes are (doc, line). An entry says that a node of ``n`` distinct values has
 value ``v`` at place ``pos`` of its prefix. Lists of up to ``cap`` entries give
 all their pairs that pass the length and positional filters. A longer list
 first gives pairs with leaders only (the first node, and one for each further
-length band); what those leave open is done exactly in a second pass.
+length band); what those leave open is done exactly afterwards: long lists that
+share nodes are one hot group, and its open nodes meet all its nodes in blocks.
 """
 
 from __future__ import annotations
@@ -168,80 +169,62 @@ def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True, dense
     return durable(out.filter("kind = 0").select("a_doc", "a_line", "b_doc", "b_line").distinct()), entries
 
 
-def mixed_lists(entries: DataFrame) -> DataFrame:
-    """Entries of long lists that hold more than one group ``g``, dealt and sorted like lists.
+def hot_groups(entries: DataFrame) -> DataFrame:
+    """Nodes of long lists that hold several groups: (doc, line, n, g, hot, size, main), durable.
 
-    Each entry carries ``vs``, its node's values in such lists (ascending longs
-    as binary), by which a pair that meets in many lists is made in one only.
+    ``entries``: (v, id, doc, line, n, g). Lists that share nodes are one hot
+    group; ``size`` counts its nodes and ``main`` is its most frequent g.
     """
-    mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("v")
-    entries = durable(entries.join(mixed, "v", "left_semi"))
-    mine = entries.groupBy("doc", "line").agg(F.sort_array(F.collect_set("v")).alias("vs"))
-    return durable(lists(entries.join(mine, ["doc", "line"])))
-
-
-def _outside(gs: np.ndarray) -> np.ndarray:
-    """Places of a list that aren't of its most frequent group."""
-    names, counts = np.unique(gs, return_counts=True)
-    return np.flatnonzero(gs != names[counts.argmax()])
-
-
-def drawn_pairs(listed: DataFrame, seed: int) -> DataFrame:
-    """One random partner of another group in each long list, for every node outside the list's main group.
-
-    In a hot group of near copies most nodes find a link this way, so that
-    rest_pairs has few nodes left to compare with whole lists.
-    """
-
-    def run(batches):
-        for v, doc, line, n, g in _runs(batches, ["v", "doc", "line", "n", "g"]):
-            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            for s, k in zip(start, np.diff(np.r_[start, len(v)]), strict=True):
-                x = _outside(g[s : s + k])
-                if len(x):
-                    y = np.random.default_rng([seed, int(v[s]) & (2**63 - 1)]).integers(0, k, len(x))
-                    i, j = s + np.minimum(x, y), s + np.maximum(x, y)
-                    ok = (g[i] != g[j]) & _fits(n[i], n[j], 0, 0, False)
-                    if ok.any():
-                        yield _emit([v, doc, line], i[ok], j[ok])
-
-    return listed.mapInArrow(run, PAIR)
-
-
-def rest_pairs(listed: DataFrame) -> DataFrame:
-    """All pairs of different groups in mixed lists, each in the list of its smallest shared value.
-
-    The main group of a list is one side only; a node outside it is compared
-    with the list in one vectorised step, so memory follows the list.
+    mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("u")).filter("lo <> hi").select("v", "u")
+    met = durable(entries.join(mixed, "v"))
+    hot = components(met.select("u", F.col("id").alias("v"))).toDF("id", "hot")
+    nodes = met.select("id", "doc", "line", "n", "g").distinct().join(hot, "id", "left").withColumn("hot", F.coalesce("hot", "id"))
+    nodes = durable(nodes.drop("id"))
+    sizes = nodes.groupBy("hot", "g").count().groupBy("hot").agg(F.sum("count").alias("size"), F.max_by("g", F.struct("count", "g")).alias("main"))
+    return durable(nodes.join(sizes, "hot"))
+
+
+def finish(nodes: DataFrame, sets: DataFrame, earlier: bool, block: int = 512) -> DataFrame:
+    """Links that hot groups still hide: nodes outside a group's main g against all its nodes, on full sets.
+
+    A group is dealt out in blocks of about ``block`` nodes; the nodes outside
+    the main g go to every block, so the work spreads however large the group.
+    One link is given for each node and other g; with ``earlier`` only links
+    from an earlier node (doc, line) to a later one.
     """
-
-    def run(batches):
-        for v, doc, line, n, g, vs in _runs(batches, ["v", "doc", "line", "n", "g", "vs"]):
-            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            for s, k in zip(start, np.diff(np.r_[start, len(v)]), strict=True):
-                gs = g[s : s + k]
-                few = _outside(gs)
-                if not len(few):
-                    continue
-                out = np.zeros(k, bool)
-                out[few] = True
-                each = [np.asarray(x, np.int64) for x in vs[s : s + k]]
-                first = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-                names, codes = np.unique(np.concatenate(each), return_inverse=True)
-                here = int(np.searchsorted(names, v[s]))
-                left, right = [], []
-                for x in few:
-                    mask = np.zeros(len(names), bool)
-                    mask[codes[first[x] : first[x + 1]]] = True
-                    least = np.minimum.reduceat(np.where(mask[codes], codes, len(names)), first[:-1])
-                    y = np.flatnonzero((least == here) & (gs != gs[x]) & (~out | (np.arange(k) > x)))
-                    y = y[_fits(n[s + x], n[s + y], 0, 0, False)]
-                    left.append(np.minimum(x, y)), right.append(np.maximum(x, y))
-                i, j = s + np.concatenate(left), s + np.concatenate(right)
-                if len(i):
-                    yield _emit([v, doc, line], i, j)
-
-    return listed.mapInArrow(run, PAIR)
+    cols = ["doc", "line", "g", "s"]
+    full = durable(nodes.join(sets, ["doc", "line"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
+    there = full.select("hot", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("int").alias("block"), *cols)
+    here = full.filter("g <> main").select("hot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *cols)
+
+    def meet(x, y):
+        out = [[], [], [], []]
+        if x.num_rows and y.num_rows:
+            doc, line, g = (y.column(c).to_numpy() for c in ("doc", "line", "g"))
+            each = [np.frombuffer(v.as_buffer(), np.uint64) for v in y.column("s")]
+            size = np.array([len(e) for e in each])
+            first = np.concatenate([[0], np.cumsum(size)])
+            names, codes = np.unique(np.concatenate(each), return_inverse=True)
+            for d, k, h, s in zip(*(x.column(c).to_numpy() for c in ("doc", "line", "g")), x.column("s"), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                at = np.searchsorted(names, s)
+                at[at == len(names)] = 0
+                mask = np.zeros(len(names), np.int64)
+                mask[at[names[at] == s]] = 1
+                shared = np.add.reduceat(mask[codes], first[:-1])
+                ok = (g != h) & (DEN * shared >= NUM * (size + len(s) - shared))
+                if earlier:
+                    ok &= (doc < d) | ((doc == d) & (line < k))
+                hit = np.flatnonzero(ok)
+                if len(hit):
+                    hit = hit[:1] if earlier else hit[np.unique(g[hit], return_index=True)[1]]
+                    for o, v in zip(out, (doc[hit], line[hit], np.full(len(hit), d), np.full(len(hit), k)), strict=True):
+                        o.append(v)
+        flat = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        return pa.table([pa.array(f.astype(np.int64)).cast(t) for f, t in zip(flat, kinds, strict=True)], ["a_doc", "a_line", "b_doc", "b_line"])
+
+    return durable(here.groupBy("hot", "block").cogroup(there.groupBy("hot", "block")).applyInArrow(meet, PAIR))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
