@@ -78,6 +78,8 @@ def _fits(na, nb, pa_, pb, positional):
 
 def _emit(cols, i, j):
     out = [cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32)]
+    two = (out[0] != out[2]) | (out[1] != out[3])  # a repeated row is the same node
+    out, i = [o[two] for o in out], i[two]
     # one copy of a pair per call is enough
     if len(i) > 1:
         order = np.lexsort((out[3], out[2], out[1], out[0]))
