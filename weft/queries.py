@@ -463,3 +463,89 @@ def fused_plan7(spark, sf_dir):
     noise = Machine([[Edge(0, a, b, 0.94 if a == b else 0.02) for a in "ACGT" for b in "ACGT"]])
     o = table(spark, sf_dir, "orders").select("o_orderkey", S.chars(dna(F.col("o_orderkey").cast("string"))).alias("y"))
     return rounded(fused_score(o, profile, noise, "y").select("o_orderkey", "loglike"), "loglike")
+
+
+# more of the algebra on edge tables
+FACTORS = [("click", 0.5), ("error", 2.0), ("view", 0.25)]
+
+
+@query(f"WITH {SQL_BG}, fa(sym, factor) AS (VALUES {_rows(FACTORS)}) SELECT src, dst, in_sym, out_sym, w * coalesce(factor, 1.0::DOUBLE) AS w FROM bg LEFT JOIN fa ON sym = in_sym")
+def weight_input(spark, sf_dir):
+    return R.weight_by_symbol(bigrams(spark, sf_dir), spark.createDataFrame(FACTORS, "sym string, factor double"))
+
+
+@query(f"WITH {SQL_BG} SELECT src + 1 AS src, dst + 1 AS dst, in_sym, out_sym, w FROM bg UNION ALL SELECT * FROM (VALUES (0, 1, '', '', 1::DOUBLE), (5, 1, '', '', 1::DOUBLE), (5, 6, '', '', 1::DOUBLE))")
+def kleene_plus(spark, sf_dir):
+    return R.plus(bigrams(spark, sf_dir), 5)
+
+
+@query(f"WITH {SQL_BG}, k AS (SELECT src, max(w) AS top FROM bg GROUP BY src) SELECT bg.src, dst, in_sym, out_sym, w FROM bg JOIN k ON k.src = bg.src AND w >= 0.95::DOUBLE * top")
+def subgraph(spark, sf_dir):
+    """Edges flagged as likely, kept by a semi-join."""
+    t = bigrams(spark, sf_dir)
+    flags = t.withColumn("top", F.max("w").over(Window.partitionBy("src"))).filter(F.col("w") >= F.lit(0.95) * F.col("top")).select("src", "dst", "in_sym", "out_sym")
+    return t.join(flags, ["src", "dst", "in_sym", "out_sym"], "left_semi").select(*R.COLS)
+
+
+@query(f"WITH {SQL_COMP} SELECT src, dst, string_agg(in_sym || '/' || out_sym, ',' ORDER BY in_sym, out_sym) AS label FROM cp GROUP BY src, dst")
+def dot_labels(spark, sf_dir):
+    """Edge labels of a drawing: parallel edges share one arrow."""
+    t = R.compose(bigrams(spark, sf_dir), mark(spark), 2)
+    t = t.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("in_sym", "out_sym"))).alias("io"))
+    return t.select("src", "dst", F.array_join(F.transform("io", lambda x: F.concat(x["in_sym"], F.lit("/"), x["out_sym"])), ",").alias("label"))
+
+
+@query(f"WITH {SQL_BG} SELECT s.src AS state, count(*) FILTER (in_sym = '') = 0 AS waits, count(*) FILTER (in_sym <> '') = 0 AS continues, count(*) AS edges FROM (SELECT src, in_sym FROM bg UNION ALL SELECT src, '' FROM bg WHERE src < 2) s GROUP BY s.src")
+def state_predicates(spark, sf_dir):
+    t = bigrams(spark, sf_dir).select("src", "in_sym")
+    t = t.unionByName(t.filter("src < 2").withColumn("in_sym", F.lit("")))
+    return t.groupBy(F.col("src").alias("state")).agg((F.sum((F.col("in_sym") == "").cast("int")) == 0).alias("waits"), (F.sum((F.col("in_sym") != "").cast("int")) == 0).alias("continues"), F.count("*").alias("edges"))
+
+
+CHANGES = {f"c{s}{d}": CHANGE[s][d] for s in (0, 1) for d in (0, 1)}
+
+
+def parametric_model() -> Machine:
+    return Machine([[*[Edge(d, sym, "", {"*": [f"c{s}{d}", EMIT[s][k]]}) for d in (0, 1) for k, sym in enumerate(EVENTS)], Edge(2, weight=STOP[s])] for s in (0, 1)] + [[]])
+
+
+@query(f"WITH RECURSIVE {SQL_SEQ}, {SQL_TR}, {_forward('sum')}, {SQL_BACK}, {SQL_Z} SELECT 'c' || src || dst AS param, round(sum(cnt), 4) AS cnt FROM ({SQL_COUNT}) GROUP BY src, dst")
+def param_counts(spark, sf_dir):
+    m = parametric_model()
+    got = I.param_counts(I.edge_counts(event_sequences(spark, sf_dir), m, "seq", values=CHANGES), m, CHANGES)
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in sorted(got.items())], "param string, cnt double")
+
+
+@query(f"WITH {SQL_SEQ} SELECT user_id, bool_and(sym <> 'signup' OR pos < n) AS accepted FROM seq GROUP BY user_id")
+def language_members(spark, sf_dir):
+    """Users whose last event isn't a signup: membership in a regular language, as a column."""
+    m = Machine([[*[Edge(0, s) for s in EVENTS], *[Edge(1, s) for s in EVENTS if s != "signup"]], []])
+    s = event_sequences(spark, sf_dir)
+    return s.select("user_id", (I.forward_column(m, "seq", ring=MAX) > float("-inf")).alias("accepted"))
+
+
+@query("SELECT n_name AS name, upper(n_name) AS generated FROM nation")
+def generated_strings(spark, sf_dir):
+    """Chains of nation names composed with the upper-case machine: the one string each product writes."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").select("n_name").collect():  # one machine a nation, a fixed dimension
+        m = G.compose(A.generate(r.n_name), preset("toupper"))
+        rows.append((r.n_name, "".join(e.out for _, _, e in m.all_edges())))
+    return spark.createDataFrame(rows, "name string, generated string")
+
+
+@query("SELECT user_id, round(sum(CASE event_type WHEN 'error' THEN ln(0.5::DOUBLE) WHEN 'view' THEN ln(0.25::DOUBLE) ELSE 0 END), 6) AS loglike FROM events GROUP BY user_id")
+def evaluated_weights(spark, sf_dir):
+    """Symbolic weights (definitions, powers, exponentials) evaluated into a one-state machine."""
+    m = Machine([[Edge(0, s, "", {"error": "half", "view": {"pow": ["half", 2]}}.get(s, {"exp": {"log": 1}})) for s in EVENTS]], None, {"half": {"/": [1, 2]}})
+    s = event_sequences(spark, sf_dir)
+    return s.select("user_id", F.round(I.forward_column(m.evaluated(), "seq"), 6).alias("loglike"))
+
+
+@query("SELECT * FROM (VALUES ('AC', 1::BIGINT), ('AG', 1::BIGINT), ('C', 1::BIGINT), ('G', 1::BIGINT)) v(word, derivations)")
+def derivations(spark, sf_dir):
+    """Weights as numbers of derivations: (A)?(C|G) over all words of up to two letters."""
+    m = A.concat(A.optional(A.recognize("A")), A.union(A.recognize("C"), A.recognize("G")))
+    words = spark.createDataFrame([(a + b,) for a in ["", *"ACG"] for b in "ACG"], "word string").distinct()
+    s = I.score(words.withColumn("x", S.chars("word")), G.eliminate_silent(m), "x").filter("loglike > double('-infinity')")
+    return s.select("word", F.round(F.exp("loglike")).cast("long").alias("derivations"))
