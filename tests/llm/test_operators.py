@@ -375,12 +375,10 @@ def later(rows, least=5):
 
 
 @pytest.mark.parametrize("cap,dense", [(32, 4096), (2, 0), (2, 4096)])
-def test_line_dedup(documents, cap, dense, monkeypatch):
-    plain = linededup.first_pairs
-    monkeypatch.setattr(linededup, "first_pairs", lambda x, c: plain(x, c, True, dense))
+def test_line_dedup(documents, cap, dense):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     gone = later(rows)
-    got = linededup.report(documents, cap=cap).collect()
+    got = linededup.report(documents, cap=cap, dense=dense).collect()
     text = dict(rows)
     assert len(got) == len(rows) and {(r.doc_id, k) for r in got for k in r.removed} == gone
     for r in got:

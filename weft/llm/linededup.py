@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, add_pages, count_pages, durable, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
-from weft.llm.simjoin import finish, first_pairs, hot_groups, lists, prefix_length, verify
+from weft.llm.simjoin import BEST, OTHER, PACKED, block_pairs, finish, hot_groups, long_entries, packed_blocks, prefix_length, verify
 
 
 class Lines:
@@ -99,6 +99,9 @@ def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, first
     """
     rank = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
     bound = docs.sparkSession.sparkContext.broadcast((rank, several, firsts))
+    spark = docs.sparkSession
+    # a bucket holds about 400,000 of the entries, a quarter of all words at most
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) * 3 // 10 // 400_000))
 
     def run(batches):
         rank, several, firsts = bound.value
@@ -133,12 +136,13 @@ def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, first
                 line = np.repeat(use, size)
                 keep = rare[take] > 1  # a counter of 1 says that no other line has the word
                 take, line, pos = take[keep], line[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [longs(x.word[take]), pa.array(doc[line]), pa.array(x.number[line].astype(np.int32)), pa.array(n[line].astype(np.int32)), pa.array((pos + 1).astype(np.int32)), longs(sig[0][line]), longs(sig[1][line])],
-                    ["v", "doc", "line", "n", "pos", "s1", "s2"],
-                )
+                out = np.empty(len(take), PACKED)
+                for c, col in zip(PACKED.names, (x.word[take], doc[line], x.number[line], n[line], pos + 1, sig[0][line], sig[1][line]), strict=True):
+                    out[c] = col
+                if len(out):
+                    yield packed_blocks(out, buckets)
 
-    return _rows(docs).mapInArrow(run, "v bigint, doc bigint, line int, n int, pos int, s1 bigint, s2 bigint")
+    return _rows(docs).mapInArrow(run, "bucket int, blob binary")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -148,20 +152,26 @@ def _keys(nodes: DataFrame) -> DataFrame:
     )
 
 
-def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 20) -> DataFrame:
+def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 20, dense: int = 4096) -> DataFrame:
     """Durable (doc, line) of the lines that an earlier line matches."""
     table, counts = line_table(docs, min_words, log2)
     sets = table.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("copies"))
     several = durable(sets.filter("copies > 1").select("d1", "d2", "at.doc", "at.line"))
     entries = line_entries(docs, counts, Bloom.collect(several, "d1").bits, Bloom.collect(_keys(several), "k").bits, min_words, log2)
-    listed = lists(entries)
+    found = block_pairs(entries, cap, dense)
+    entries = long_entries(found)
+    names = ["a_doc", "a_line", "b_doc", "b_line"]
 
     def confirm(pairs):
         wanted = durable(pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))).distinct())
         return durable(verify(pairs, line_sets(docs, wanted)).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct())
 
-    pairs, entries = first_pairs(listed, cap)
-    gone = confirm(pairs)
+    # one match is enough: each later line's likeliest pairs first, its other pairs only if those fail
+    gone = confirm(durable(found.filter(F.col("kind") == BEST).select(*names).distinct()))
+    other = found.filter(F.col("kind") == OTHER).select(*names).join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti")
+    other = durable(other.select(*names).distinct())
+    if not other.isEmpty():
+        gone = durable(gone.unionByName(confirm(other)).distinct())
     # a line that is not gone yet needs all earlier ones of its hot group
     marked = entries.join(gone.withColumn("hit", F.lit(True)), ["doc", "line"], "left").withColumn("id", F.xxhash64("doc", "line"))
     marked = marked.withColumn("g", F.when(F.col("hit"), F.lit(-1).cast("long")).otherwise(F.col("id").bitwiseAND(F.lit(2**62 - 1)))).drop("hit")

@@ -33,7 +33,7 @@ def prefix_length(n):
 
 
 def lists(entries: DataFrame) -> DataFrame:
-    """Entries (v, doc, line, n, pos, ...) dealt by value and sorted by value (one long: a radix sort); kernels order lists by node."""
+    """Entries (v, doc, line, n, pos) dealt by value and sorted by value (one long: a radix sort); kernels order lists by node."""
     return entries.repartition("v").sortWithinPartitions("v")
 
 
@@ -76,99 +76,145 @@ def _fits(na, nb, pa_, pb, positional):
     return ok
 
 
-def _emit(cols, i, j):
-    out = [cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32)]
-    two = (out[0] != out[2]) | (out[1] != out[3])  # a repeated row is the same node
-    out, i = [o[two] for o in out], i[two]
-    # one copy of a pair per call is enough
-    if len(i) > 1:
-        order = np.lexsort((out[3], out[2], out[1], out[0]))
+def _order(cols, i, j):
+    """Each pair with the earlier node first; pairs of a node with itself (repeated rows) left out."""
+    doc, line = cols[1], cols[2]
+    back = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+    i, j = np.where(back, j, i), np.where(back, i, j)
+    two = (doc[i] != doc[j]) | (line[i] != line[j])
+    return i[two], j[two]
+
+
+def _emit(cols, i, j, kind):
+    out = [np.asarray(kind, np.int32) + np.zeros(len(i), np.int32), cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32)]
+    if len(i) > 1:  # one copy of a pair per call is enough
+        order = np.lexsort(out[::-1])
         out = [o[order] for o in out]
         new = np.ones(len(i), bool)
-        new[1:] = (out[0][1:] != out[0][:-1]) | (out[1][1:] != out[1][:-1]) | (out[2][1:] != out[2][:-1]) | (out[3][1:] != out[3][:-1])
+        new[1:] = np.logical_or.reduce([o[1:] != o[:-1] for o in out])
         out = [o[new] for o in out]
-    return pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["a_doc", "a_line", "b_doc", "b_line"])
-
-
-def first_pairs(listed: DataFrame, cap: int = 32, positional: bool = True, dense: int = 4096) -> tuple[DataFrame, DataFrame]:
+    return pa.RecordBatch.from_arrays([*[pa.array(o) for o in out], pa.array(np.zeros(len(out[0]), np.int32))], FIRST_NAMES)
+
+
+FIRST_NAMES = ["kind", "a_doc", "a_line", "b_doc", "b_line", "pos"]
+FIRST = f"kind int, {PAIR}, pos int"
+#: Kinds of rows: the likeliest pair of a later node in a list, an entry of a long list, any other pair.
+BEST, ENTRY, OTHER = 0, 1, 2
+
+
+def list_pairs(cols, cap: int, positional: bool, dense: int):
+    """Pairs and long-list entries of sorted list columns (v, doc, line, n, pos[, s1, s2])."""
+    v, _, _, n, pos, *sig = cols
+    sig = [x.view(np.uint64) for x in sig]
+
+    def good(i, j, positional=positional):
+        ok = np.flatnonzero(_fits(n[i], n[j], pos[i], pos[j], positional))
+        if sig and len(ok):
+            ok = ok[~_unlike(i[ok], j[ok], n, *sig)]
+        return i[ok], j[ok]
+
+    m = len(v)
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    size = np.diff(np.r_[start, m])
+    place = (np.arange(m) - np.repeat(start, size)).astype(np.int32)
+    place[np.repeat(size, size) > cap] = -1
+    found = []
+    alive = np.flatnonzero(place >= 1)
+    for d in range(1, int(min(cap, size.max(initial=1)))):
+        alive = alive[place[alive] >= d]
+        if not len(alive):
+            break
+        found.append(good(alive - d, alive))
+    for s, k in zip(start[size > cap], size[size > cap], strict=True):
+        if sig and k <= dense:
+            by, close, many = s + np.argsort(n[s : s + k], kind="stable"), [], 0
+            upto = np.searchsorted(n[by], n[by] * DEN // NUM, "right")
+            for at in range(0, k, 256):
+                to = min(k, at + 256)
+                last = int(upto[to - 1])  # longer sets can't be similar to any of the block
+                x, y = np.arange(at, to), np.arange(at, last)
+                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+                up = j > i
+                close.append(good(by[i[up]], by[j[up]]))
+                many += len(close[-1][0])
+                if many > 8 * k:
+                    break
+            if many <= 8 * k:
+                found += close
+                continue
+        j = s + np.lexsort((cols[2][s : s + k], cols[1][s : s + k]))
+        band = np.floor(np.log(n[j]) / np.log(DEN / NUM) * 2).astype(np.int64)
+        for b in np.unique(band):
+            for near in (b - 1, b):  # a leader of the band, and of the next shorter one
+                at = np.flatnonzero(band == near)
+                if len(at):
+                    o = j[band == b]
+                    found.append(good(o, np.full(len(o), j[at[0]]), False))
+        # neighbours in order of node: copies made one after another
+        found.append(good(j[:-1], j[1:], False))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (np.full(k, ENTRY, np.int32), cols[1][j], cols[2][j].astype(np.int32), v[j].view(np.int64), n[j].astype(np.int32), pos[j].astype(np.int32))], FIRST_NAMES
+        )
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    i, j = _order(cols, i, j)
+    if len(i):
+        kind = np.full(len(i), BEST)
+        if sig:
+            apart = np.bitwise_count(sig[0][i] ^ sig[0][j]).astype(np.int64) + np.bitwise_count(sig[1][i] ^ sig[1][j])
+            order = np.lexsort((apart, j))
+            kind[order[1:][j[order[1:]] == j[order[:-1]]]] = OTHER
+        yield _emit(cols, i, j, kind)
+
+
+def first_pairs(listed: DataFrame, cap: int = 32) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a before b): all of short lists, leader pairs of long ones; and the entries of long lists.
 
-    With signatures (columns s1, s2) lists of up to ``dense`` entries are
-    compared in full, block by block, and count as long only if most of their
-    pairs might be similar. One pass over the lists writes both results, so the
-    entries are dealt out once.
+    One pass over the lists writes both results, so the entries are dealt out once.
     """
-    signed = "s1" in listed.columns
 
     def run(batches):
-        for cols in _runs(batches, ["v", "doc", "line", "n", "pos", *(["s1", "s2"] if signed else [])]):
-            v, doc, line, n, pos, *sig = cols
-            sig = [x.view(np.uint64) for x in sig]
-
-            def good(i, j, positional=positional, n=n, pos=pos, sig=sig):
-                ok = np.flatnonzero(_fits(n[i], n[j], pos[i], pos[j], positional))
-                if signed and len(ok):
-                    ok = ok[~_unlike(i[ok], j[ok], n, *sig)]
-                return ok
-
-            m = len(v)
-            start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            size = np.diff(np.r_[start, m])
-            place = np.arange(m) - np.repeat(start, size)
-            length = np.repeat(size, size)
-            left, right = [], []
-            for d in range(1, int(min(cap, size.max(initial=1)))):
-                j = np.flatnonzero((length <= cap) & (place >= d))
-                ok = good(j - d, j)
-                left.append(j[ok] - d), right.append(j[ok])
-            for s, k in zip(start[size > cap], size[size > cap], strict=True):
-                if signed and k <= dense:
-                    a, z, many = [], [], 0
-                    for at in range(0, k, 256):
-                        x = np.arange(at, min(k, at + 256))
-                        i, j = np.repeat(x, k - at), np.tile(np.arange(at, k), len(x))
-                        i, j = s + i[j > i], s + j[j > i]
-                        ok = good(i, j)
-                        a.append(i[ok]), z.append(j[ok])
-                        many += len(ok)
-                        if many > 8 * k:
-                            break
-                    if many <= 8 * k:
-                        left += a
-                        right += z
-                        continue
-                j = np.arange(s, s + k)
-                band = np.floor(np.log(n[j]) / np.log(DEN / NUM) * 2).astype(np.int64)
-                for b in np.unique(band):
-                    for near in (b - 1, b):  # a leader of the band, and of the next shorter one
-                        at = np.flatnonzero(band == near)
-                        if len(at):
-                            o = j[band == b]
-                            a, z = np.minimum(o, s + at[0]), np.maximum(o, s + at[0])
-                            a, z = a[a != z], z[a != z]
-                            ok = good(a, z, False)
-                            left.append(a[ok]), right.append(z[ok])
-                # neighbours in order of node: copies made one after another
-                ok = good(j[:-1], j[1:], False)
-                left.append(j[:-1][ok]), right.append(j[1:][ok])
-                yield [c[j] for c in cols[:5]]
-            if left and (i := np.concatenate(left)).size:
-                yield _emit(cols, i, np.concatenate(right))
-
-    def tagged(batches):
-        for x in run(batches):
-            if isinstance(x, list):
-                v, doc, line, n, pos = x
-                cols = [np.ones(len(v), np.int32), doc, line.astype(np.int32), v, n.astype(np.int32), pos.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-            else:
-                z = pa.array(np.zeros(x.num_rows, np.int32))
-                yield pa.RecordBatch.from_arrays([z, *x.columns, z], names)
-
-    names = ["kind", "a_doc", "a_line", "b_doc", "b_line", "pos"]
-    out = durable(listed.mapInArrow(tagged, f"kind int, {PAIR}, pos int"))
-    entries = out.filter("kind = 1").select(F.col("b_doc").alias("v"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), F.col("b_line").alias("n"), "pos")
-    return durable(out.filter("kind = 0").select("a_doc", "a_line", "b_doc", "b_line").distinct()), entries
+        for cols in _runs(batches, ["v", "doc", "line", "n", "pos"]):
+            yield from list_pairs(cols, cap, False, 0)
+
+    out = durable(listed.mapInArrow(run, FIRST))
+    return durable(out.filter(F.col("kind") == BEST).select("a_doc", "a_line", "b_doc", "b_line").distinct()), long_entries(out)
+
+
+def long_entries(out: DataFrame) -> DataFrame:
+    return out.filter(F.col("kind") == ENTRY).select(F.col("b_doc").alias("v"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), F.col("b_line").alias("n"), "pos")
+
+
+#: A list entry packed into bytes, for entries that travel by the block.
+PACKED = np.dtype([("v", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("s1", "<u8"), ("s2", "<u8")])
+
+
+def packed_blocks(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries dealt to buckets by value: one row a bucket, so millions of entries are some thousand rows to Spark."""
+    bucket = (entries["v"] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    ends = np.append(cut[1:], len(order))
+    sorted_ = entries[order]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[order[cut]].astype(np.int32)), pa.array([sorted_[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "blob"]
+    )
+
+
+def block_pairs(blocks: DataFrame, cap: int = 32, dense: int = 4096) -> DataFrame:
+    """Durable pairs and long-list entries (kind, a, b) of packed entries (bucket int, blob binary) with signatures.
+
+    Lists of up to ``dense`` entries are compared in full, windowed by set
+    size, and count as long only if most of their pairs might be similar.
+    """
+
+    def run(key, table):
+        e = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in table.column("blob")), PACKED)
+        order = np.argsort(e["v"])
+        e = e[order]
+        out = list(list_pairs([np.ascontiguousarray(e[c]) for c in PACKED.names], cap, True, dense))
+        return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())], FIRST_NAMES)
+
+    return durable(blocks.groupBy("bucket").applyInArrow(run, FIRST))
 
 
 def hot_groups(entries: DataFrame) -> DataFrame:
