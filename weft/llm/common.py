@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pools keep freed batches; the system's gives them back, and executors' memory is shared with the JVM.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows of a keyed lookup table that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 100_000
 

@@ -18,14 +18,17 @@ null doc_id are left alone; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, add_pages, count_pages, durable, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
-from weft.llm.simjoin import BEST, OTHER, PACKED, block_pairs, finish, hot_groups, long_entries, packed_blocks, prefix_length, verify
+from weft.llm.simjoin import BEST, ENTRY, OTHER, PACKED, block_pairs, finish, hot_groups, long_entries, packed_blocks, prefix_length, verify
 
 
 class Lines:
@@ -162,12 +165,15 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
     entries = long_entries(found)
     names = ["a_doc", "a_line", "b_doc", "b_line"]
 
+    # the word sets of all lines that may match another: one more scan of the texts
+    met = found.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(found.filter(F.col("kind") != ENTRY).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")))
+    words = line_sets(docs, durable(met.distinct()))
+
     def confirm(pairs):
-        wanted = durable(pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))).distinct())
-        return durable(verify(pairs, line_sets(docs, wanted)).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct())
+        return durable(verify(pairs, words).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct())
 
     # one match is enough: each later line's likeliest pairs first, its other pairs only if those fail
-    gone = confirm(durable(found.filter(F.col("kind") == BEST).select(*names).distinct()))
+    gone = confirm(found.filter(F.col("kind") == BEST).select(*names).distinct())
     other = found.filter(F.col("kind") == OTHER).select(*names).join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti")
     other = durable(other.select(*names).distinct())
     if not other.isEmpty():
@@ -179,7 +185,7 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
     # lines that are gone are only looked at
     hot = hot.withColumn("main", F.lit(-1).cast("long"))
     if not hot.isEmpty():
-        gone = durable(gone.unionByName(finish(hot, line_sets(docs, hot), True).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))).distinct())
+        gone = durable(gone.unionByName(finish(hot, words, True).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line"))).distinct())
     # of a set on several lines all but the first go
     first = several.select("d1", "d2", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"))
     copies = table.select("doc", "line", "d1", "d2").join(first, ["d1", "d2"]).filter("doc <> f_doc or line <> f_line").select("doc", "line")
@@ -221,34 +227,48 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     return later_matches(docs, **options).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
+def _without(text: str, gone: list[int]) -> str:
+    lines = text.split("\n")
+    for k in reversed(gone):
+        del lines[k]
+    return "\n".join(lines)
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, removed (line numbers), kept_crc32 of what stays."""
     gone = removed_lines(docs, **options)
-    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id") == F.col("doc"), "left")
-    kept = _kept_text(F.coalesce("text", F.lit("")), F.col("gone"))
-    return rows.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("gone", F.array().cast("array<int>")).alias("removed"),
-        F.crc32(kept.cast("binary")).alias("kept_crc32"),
-    )
+    rows = docs.select("doc_id", "text").join(gone, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "gone")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        for b in batches:
+            texts, removed = b.column("text"), b.column("gone").to_pylist()
+            n = pc.add(pc.count_substring(texts, "\n"), 1).fill_null(0).cast(pa.int64())
+            crc = [zlib.crc32(_without(t.as_py(), g).encode() if g else t.as_buffer() or b"") if t.is_valid else 0 for t, g in zip(texts, removed, strict=True)]
+            cols = [b.column("doc_id"), n, pa.array([len(g or ()) for g in removed], pa.int64()), pa.array([g or [] for g in removed], pa.list_(pa.int32())), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "n_removed", "removed", "kept_crc32"])
 
-def _kept_text(text, gone):
-    """``text`` without the lines ``gone``: walks the removed numbers, slicing between them."""
-    lines = F.split(text, "\n")
-    bounds = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
-    pieces = F.transform(F.slice(bounds, 2, F.size(bounds) - 1), lambda to, k: F.slice(lines, F.get(bounds, k) + 2, to - F.get(bounds, k) - 1))
-    return F.when(gone.isNull() | (F.size(gone) == 0), text).otherwise(F.array_join(F.flatten(pieces), "\n"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_lines bigint, n_removed bigint, removed array<int>, kept_crc32 bigint")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without later matching lines, columns as they were (n_chars made anew); a document left without any word goes if it lost lines."""
-    gone = removed_lines(docs, **options)
-    rows = docs.join(gone, F.col("doc_id") == F.col("doc"), "left")
-    rows = rows.withColumn("text", _kept_text(F.col("text"), F.col("gone")))
-    rows = rows.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    gone = removed_lines(docs, **options).withColumnRenamed("gone", "__gone")
+    names = docs.columns
+    rows = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+
+    def run(batches):
+        for b in batches:
+            removed = b.column("__gone").to_pylist()
+            if not any(removed):
+                yield b.select(names)
+                continue
+            texts = [_without(t, g) if g else t for t, g in zip(b.column("text").to_pylist(), removed, strict=True)]
+            keep = pa.array([not g or bool(t.strip(" \t\n\x0b\x0c\r")) for t, g in zip(texts, removed, strict=True)])
+            cols = {c: b.column(c) for c in names}
+            cols["text"] = pa.array(texts, cols["text"].type)
+            if "n_chars" in cols:
+                cols["n_chars"] = pc.if_else(pa.array([bool(g) for g in removed]), pc.utf8_length(cols["text"]).cast(cols["n_chars"].type), cols["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(keep)
+
+    return rows.mapInArrow(run, docs.schema)
