@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import durable
+from weft.llm.common import durable, lowest
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def build(vectors: DataFrame, k: int, books: int = 8, size: int = 256, beam: int
             w = Codebooks.fit(x, books, size, beam, rounds, seed).words
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([w.shape[1]])], ["w", "size"])
 
-    sample = distinct.orderBy(F.xxhash64(F.lit(seed), "u"), "u").limit(sample_rows).select("vec").coalesce(1)
+    sample = lowest(distinct, "u", sample_rows, seed).select("vec").coalesce(1)
     row = sample.mapInArrow(fit, "w binary, size bigint").first()
     words = np.frombuffer(bytes(row["w"])).reshape(books, row["size"], dim)
     bound = vectors.sparkSession.sparkContext.broadcast(words)

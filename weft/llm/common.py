@@ -72,6 +72,20 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     return big.join(renamed, cond, how).drop(*[f"__k_{k}" for k in keys])
 
 
+def lowest(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """The ``rows`` rows of lowest key hash: a sample that depends on the data alone.
+
+    Hashes above what the row count makes plausible are dropped in every task
+    first, so what is sorted is about the sample, however many tasks there are.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    n = df.count()
+    if n > 4 * rows:
+        share = (rows + 8 * rows**0.5) / n
+        df = df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(h, key).limit(rows)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Bloom, add_pages, count_pages, durable, longs, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest
-from weft.llm.simjoin import BEST, ENTRY, OTHER, PACKED, block_pairs, finish, hot_groups, long_entries, packed_blocks, prefix_length, verify
+from weft.llm.simjoin import BEST, ENTRY, PACKED, block_pairs, finish, hot_groups, long_entries, packed_blocks, prefix_length, verify
 
 
 class Lines:
@@ -172,10 +172,11 @@ def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int
     def confirm(pairs):
         return durable(verify(pairs, words).select(F.col("b_doc").alias("doc"), F.col("b_line").alias("line")).distinct())
 
-    # one match is enough: each later line's likeliest pairs first, its other pairs only if those fail
-    gone = confirm(found.filter(F.col("kind") == BEST).select(*names).distinct())
-    other = found.filter(F.col("kind") == OTHER).select(*names).join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti")
-    other = durable(other.select(*names).distinct())
+    # one match is enough: each later line's likeliest pair first, its other pairs only if that fails
+    pairs = found.filter(F.col("kind") != ENTRY)
+    best = pairs.filter(F.col("kind") == BEST).groupBy("b_doc", "b_line").agg(F.min(F.struct("pos", "a_doc", "a_line")).alias("a"))
+    gone = confirm(best.select("a.a_doc", "a.a_line", "b_doc", "b_line"))
+    other = durable(pairs.join(gone.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").select(*names).distinct())
     if not other.isEmpty():
         gone = durable(gone.unionByName(confirm(other)).distinct())
     # a line that is not gone yet needs all earlier ones of its hot group
@@ -218,8 +219,8 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 blob = pa.Array.from_buffers(pa.binary(), len(use), [None, off, pa.py_buffer(s.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(x.number[use].astype(np.int32)), blob], ["doc", "line", "s"])
 
-    found = _rows(docs).mapInArrow(run, "doc bigint, line int, s binary")
-    return durable(found.join(wanted.select("doc", "line"), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"]))
+    # a line that only the filters' false yes lets in meets no pair later
+    return durable(_rows(docs).mapInArrow(run, "doc bigint, line int, s binary"))
 
 
 def removed_lines(docs: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import durable, slices, strings
+from weft.llm.common import durable, lowest, slices, strings
 from weft.llm.kernels import SPACE, U, Words, mix, windows, _pow, R, RINV
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -221,10 +221,9 @@ def fit(measured: DataFrame, labels: DataFrame, trees: int = 100, psi: int = 64,
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("good"))
     known = durable(measured.join(good, "doc_id"))
     passing = "n_words >= 20 and 100 * n_repeat_words <= 30 * n_words"
-    order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
-    rows = known.filter(passing).orderBy(*order).select("good", "x").limit(sample_rows).collect()
+    rows = lowest(known.filter(passing), "doc_id", sample_rows, seed).select("good", "x").collect()
     if not any(r["good"] == 1 for r in rows):
-        rows = measured.filter(passing).orderBy(*order).select(F.lit(1).alias("good"), "x").limit(sample_rows).collect()
+        rows = lowest(measured.filter(passing), "doc_id", sample_rows, seed).select(F.lit(1).alias("good"), "x").collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     good_rows = x[np.array([r["good"] == 1 for r in rows], bool)]
     low, high = np.percentile(good_rows, [0.3, 99.7], axis=0) if len(good_rows) else np.zeros((2, len(FEATURES)))

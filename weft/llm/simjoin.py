@@ -85,20 +85,21 @@ def _order(cols, i, j):
     return i[two], j[two]
 
 
-def _emit(cols, i, j, kind):
-    out = [np.asarray(kind, np.int32) + np.zeros(len(i), np.int32), cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32)]
+def _emit(cols, i, j, kind, apart=0):
+    out = [np.asarray(kind, np.int32) + np.zeros(len(i), np.int32), cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32), np.asarray(apart, np.int32) + np.zeros(len(i), np.int32)]
     if len(i) > 1:  # one copy of a pair per call is enough
         order = np.lexsort(out[::-1])
         out = [o[order] for o in out]
         new = np.ones(len(i), bool)
         new[1:] = np.logical_or.reduce([o[1:] != o[:-1] for o in out])
         out = [o[new] for o in out]
-    return pa.RecordBatch.from_arrays([*[pa.array(o) for o in out], pa.array(np.zeros(len(out[0]), np.int32))], FIRST_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(o) for o in out], FIRST_NAMES)
 
 
 FIRST_NAMES = ["kind", "a_doc", "a_line", "b_doc", "b_line", "pos"]
 FIRST = f"kind int, {PAIR}, pos int"
 #: Kinds of rows: the likeliest pair of a later node in a list, an entry of a long list, any other pair.
+#: ``pos`` of a pair is how many bits its signatures differ in.
 BEST, ENTRY, OTHER = 0, 1, 2
 
 
@@ -158,12 +159,12 @@ def list_pairs(cols, cap: int, positional: bool, dense: int):
     i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     i, j = _order(cols, i, j)
     if len(i):
-        kind = np.full(len(i), BEST)
+        kind, apart = np.full(len(i), BEST), 0
         if sig:
             apart = np.bitwise_count(sig[0][i] ^ sig[0][j]).astype(np.int64) + np.bitwise_count(sig[1][i] ^ sig[1][j])
             order = np.lexsort((apart, j))
             kind[order[1:][j[order[1:]] == j[order[:-1]]]] = OTHER
-        yield _emit(cols, i, j, kind)
+        yield _emit(cols, i, j, kind, apart)
 
 
 def first_pairs(listed: DataFrame, cap: int = 32) -> tuple[DataFrame, DataFrame]:
