@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Arrow's own pools keep freed batches; the system's gives them back, and executors' memory is shared with the JVM.
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: Batches between the JVM and kernels while a durable table is written: both sides hold several at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: Rows of a keyed lookup table that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 100_000
 
@@ -41,7 +43,14 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
