@@ -395,6 +395,14 @@ def test_line_dedup_keeps_columns(documents):
     assert out.filter("text is not null and n_chars <> length(text)").count() == 0
 
 
+def test_line_dedup_with_a_full_filter(documents, monkeypatch):
+    collect = common.Bloom.collect
+    full = common.Bloom(np.full(1 << 13, 255, np.uint8))
+    monkeypatch.setattr(common.Bloom, "collect", lambda keys, column, **o: full if column == "d1" else collect(keys, column, **o))
+    got = linededup.report(documents).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed} == later([(r.doc_id, r.text) for r in documents.collect()])
+
+
 # shared
 def test_words_match_the_pattern():
     rng = np.random.default_rng(6)

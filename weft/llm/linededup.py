@@ -97,8 +97,9 @@ def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, first
     """Inverted-list entries of the prefix of each distinct line, with a 128-bit signature of its words.
 
     ``several`` and ``firsts`` are Bloom filters of the sets that occur on
-    several lines and of the first of such lines: later copies are left out (a
-    filter's false yes lets one in, which costs time only).
+    several lines and of the first line of every set that ``several`` says yes
+    to, rightly or not: only later copies are left out (a false yes of
+    ``firsts`` lets one in, which costs time only).
     """
     rank = np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
     bound = docs.sparkSession.sparkContext.broadcast((rank, several, firsts))
@@ -155,12 +156,26 @@ def _keys(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _first_lines(table: DataFrame, several: np.ndarray) -> DataFrame:
+    """Durable (doc, line): the first line of each set that the filter ``several`` says yes to, sets on one line included."""
+    bound = table.sparkSession.sparkContext.broadcast(several)
+
+    def run(batches):
+        several = Bloom(bound.value)
+        for b in batches:
+            yield b.filter(pa.array(several.has(b.column("d1").to_numpy())))
+
+    told = table.select("doc", "line", "d1", "d2").mapInArrow(run, "doc bigint, line int, d1 bigint, d2 bigint")
+    return durable(told.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line"))
+
+
 def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 20, dense: int = 4096) -> DataFrame:
     """Durable (doc, line) of the lines that an earlier line matches."""
     table, counts = line_table(docs, min_words, log2)
     sets = table.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("copies"))
     several = durable(sets.filter("copies > 1").select("d1", "d2", "at.doc", "at.line"))
-    entries = line_entries(docs, counts, Bloom.collect(several, "d1").bits, Bloom.collect(_keys(several), "k").bits, min_words, log2)
+    repeated = Bloom.collect(several, "d1").bits
+    entries = line_entries(docs, counts, repeated, Bloom.collect(_keys(_first_lines(table, repeated)), "k").bits, min_words, log2)
     found = block_pairs(entries, cap, dense)
     entries = long_entries(found)
     names = ["a_doc", "a_line", "b_doc", "b_line"]
