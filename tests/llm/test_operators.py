@@ -201,6 +201,11 @@ def test_scores(documents, head):
     assert lattice.score_documents(empty(documents), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_score_does_not_depend_on_the_head(documents):
+    few, all_ = ({(r.doc_id, r.n_tokens): r.score for r in lattice.score_documents(documents, tokenizer_path("piece_bpe_32k.model"), 2, head).collect()} for head in (10, 1 << 20))
+    assert len(few) == documents.select("doc_id").distinct().count() and few == pytest.approx(all_, rel=1e-9)
+
+
 # 6 near duplicates
 def groups(rows):
     sets = {}

@@ -16,7 +16,7 @@ segmentations and components: its own ``lang`` isn't looked at.
 
 The base is the add-half word unigram. Word counts are exact and stay
 distributed: the most frequent words (bounded number) are broadcast, all others
-are joined by hash.
+are joined by hash, for the base and for the whole-word edges alike.
 
 Defined cases: null text is empty (the end symbol only); a null doc_id counts
 as the empty string for the fold; a null or absent lang is the pooled
@@ -268,7 +268,7 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     K, by = len(ends), [f"n{k}" for k in range(len(ends))]
-    sums = words.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *by]]).first()
+    sums = words.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *by]], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"v{c}") for c in by]).first()
     seen = int(ends.sum())
     V, N = sums["v"] + (seen > 0), int(sums["n"]) + seen
     level, room = 1, head
@@ -285,7 +285,7 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
     whole = len(key) == sums["v"]
     norm = float(np.log10(N + 0.5 * (V + 1)))
     size = np.array([sums[c] for c in by], float)
-    kept = np.array([np.maximum(counts[k + 1] - DISCOUNT, 0).sum() for k in range(K)])
+    kept = np.array([sums[c] - DISCOUNT * sums[f"v{c}"] for c in by])
     spelled = np.log(np.maximum(1 - kept / np.maximum(size, 1), 1e-6))  # weight of the subword paths
     size = np.maximum(size, 1)
     go, stop = np.log10(size / (size + np.maximum(ends, 1))), np.log10(np.maximum(ends, 1) / (size + np.maximum(ends, 1)))
@@ -303,6 +303,7 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
                 k = np.searchsorted(key, h)
                 k[k == len(key)] = 0
                 known = key[k] == h if len(key) else np.zeros(len(h), bool)
+                here = known | whole
                 ll = lattice(w.data, w.start[first], w.end[first], pieces, logp)
                 doc = np.empty((K, texts))
                 for c in range(K):
@@ -310,36 +311,42 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
                     if len(key):
                         p += np.where(known, np.maximum(counts[c + 1][k] - DISCOUNT, 0) / size[c], 0)
                     p = np.where(p > 1e-290, np.log10(np.maximum(p, 1e-300)), (ll[c] + spelled[c]) / np.log(10))
-                    doc[c] = np.bincount(w.doc, p[which], texts) + w.count * go[c] + stop[c] + share[c]
-                best = doc.max(axis=0)
-                model = best + np.log10((10 ** (doc - best)).sum(axis=0))
-                here = known | whole
+                    doc[c] = np.bincount(w.doc, np.where(here, p, 0)[which], texts) + w.count * go[c] + stop[c] + share[c]
                 base = np.where(here, np.log10(np.where(known, counts[0][k] if len(key) else 0, 0) + 0.5) - norm, 0)
                 ref = part + at + np.arange(texts)
                 at += texts
                 rows = [
                     pa.array(ref), b.column("doc_id").slice(i, texts), b.column("held_out").slice(i, texts), pa.array(w.count + 1),
                     pa.array(np.bincount(w.doc, known[which], texts).astype(np.int64) + (seen > 0)),
-                    pa.array(np.bincount(w.doc, base[which], texts) + np.log10(seen + 0.5) - norm), pa.array(model), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64()),
+                    pa.array(np.bincount(w.doc, base[which], texts) + np.log10(seen + 0.5) - norm), *map(pa.array, doc), pa.nulls(texts, pa.int64()), pa.nulls(texts, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(rows, names)
                 rest = np.flatnonzero(~here[which])
-                if len(rest):  # (text, word) pairs with their counts
+                if len(rest):  # (text, word) pairs with their counts and the word's subword paths
                     pair, n = _pairs(w.doc[rest], which[rest], len(h))
-                    none = [pa.nulls(len(n), t) for t in (b.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ref[pair[0]]), *none, longs(h[pair[1]]), pa.array(n.astype(np.int64))], names)
+                    none = [pa.nulls(len(n), t) for t in (b.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
+                    paths = [pa.array(ll[c][pair[1]] + spelled[c]) for c in range(K)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ref[pair[0]]), *none, *paths, longs(h[pair[1]]), pa.array(n.astype(np.int64))], names)
 
-    names = ["ref", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "h", "n"]
+    terms = [f"s{k}" for k in range(K)]
+    names = ["ref", "doc_id", "held_out", "n_tokens", "n_known", "base", *terms, "h", "n"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    told = durable(d.mapInArrow(run, f"ref bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, h bigint, n bigint"))
+    told = durable(d.mapInArrow(run, f"ref bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, {', '.join(f'{c} double' for c in terms)}, h bigint, n bigint"))
     out = told.filter("h is null").drop("h", "n")
     if not whole:
-        tail = told.filter("h is not null").select("ref", "h", F.col("n").alias("times")).join(words.select("h", "n"), "h", "left")
+        tail = told.filter("h is not null").select("ref", "h", F.col("n").alias("times"), *terms).join(words.filter(F.col("n") < level), "h", "left")
         c = F.coalesce("n", F.lit(0))
-        tail = tail.groupBy("ref").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * (F.log10(c + 0.5) - F.lit(norm))).alias("b2"))
-        out = out.join(tail, "ref", "left").withColumn("n_known", F.col("n_known") + F.coalesce("k2", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("b2", F.lit(0.0)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        sums = [F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * (F.log10(c + 0.5) - F.lit(norm))).alias("b2")]
+        for k in range(K):
+            p = F.exp(f"s{k}") + F.greatest(F.coalesce(f"n{k}", F.lit(0)) - F.lit(DISCOUNT), F.lit(0.0)) / F.lit(float(size[k]))
+            sums.append(F.sum(F.col("times") * F.when(p > 1e-290, F.log10(p)).otherwise(F.col(f"s{k}") / F.lit(float(np.log(10))))).alias(f"t{k}"))
+        out = out.join(tail.groupBy("ref").agg(*sums), "ref", "left").withColumn("n_known", F.col("n_known") + F.coalesce("k2", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("b2", F.lit(0.0)))
+        for k in range(K):
+            out = out.withColumn(f"s{k}", F.col(f"s{k}") + F.coalesce(f"t{k}", F.lit(0.0)))
+    best = F.array_max(F.array(*terms))
+    model = best + F.log10(sum((F.pow(F.lit(10.0), F.col(c) - best) for c in terms), F.lit(0.0)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(N).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), model.alias("score"))
 
 
 def _pairs(doc, which, words):
