@@ -408,6 +408,13 @@ def test_line_dedup_with_a_full_filter(documents, monkeypatch):
     assert {(r.doc_id, k) for r in got for k in r.removed} == later([(r.doc_id, r.text) for r in documents.collect()])
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = ["Home", "home", "a b", "b a a", "a b c", "c b d a", "a b c d e", "--- ---", "---", "no no no no no", "No", "x y", "", " ", "x y z u", "x y z v"]
+    rows = [(k, "\n".join(lines[k % 5 :: 3])) for k in range(8)]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed} == later(rows, 1) != later(rows)
+
+
 # shared
 def test_words_match_the_pattern():
     rng = np.random.default_rng(6)

@@ -7,9 +7,9 @@ prefix; length and positional filters thin the pairs; full sets verify
 Jaccard >= 0.75. A line goes if an earlier line, by (doc_id, line number), is
 similar to it; earlier means any earlier line, kept or not.
 
-Lines of fewer than ``min_words`` distinct words are never compared or removed
-(headings, separators); the default of 5 matches the word shingles used for
-near-duplicates elsewhere.
+Every line with a word takes part. A set of one or two words is similar to the
+equal set only, which grouping by digest finds, so it has no list entries.
+Callers can exempt lines of fewer than ``min_words`` distinct words.
 
 Defined cases: null or empty text has no lines to compare; blank lines stay;
 rows that repeat a doc_id are the same lines and share their fate; rows with a
@@ -67,7 +67,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame, min_words: int, log2: int) -> tuple[DataFrame, np.ndarray]:
-    """Durable (doc, line, n, d1, d2) of every line of ``min_words`` words or more, and hashed word counts."""
+    """Durable (doc, line, n, d1, d2) of every line of ``min_words`` distinct words or more, and hashed word counts."""
 
     def run(batches):
         acc = np.zeros(1 << log2, np.int64)
@@ -118,7 +118,7 @@ def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, first
                 n = np.diff(x.at)
                 d1, _ = set_digest(x.word, x.at)
                 doc = ids[i + x.doc]
-                use = np.flatnonzero(n >= min_words)
+                use = np.flatnonzero(n >= max(min_words, 3))  # smaller sets have no similar ones but equal ones
                 use = use[~several.has(d1[use]) | firsts.has(_node(doc[use], x.number[use]))]
                 spread = mix(x.word)
                 rare = rank[(spread >> U(64 - log2)).astype(np.int64)]
@@ -169,7 +169,7 @@ def _first_lines(table: DataFrame, several: np.ndarray) -> DataFrame:
     return durable(told.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line"))
 
 
-def later_matches(docs: DataFrame, min_words: int = 5, cap: int = 32, log2: int = 20, dense: int = 4096) -> DataFrame:
+def later_matches(docs: DataFrame, min_words: int = 1, cap: int = 32, log2: int = 20, dense: int = 4096) -> DataFrame:
     """Durable (doc, line) of the lines that an earlier line matches."""
     table, counts = line_table(docs, min_words, log2)
     sets = table.groupBy("d1", "d2").agg(F.min(F.struct("doc", "line")).alias("at"), F.count("*").alias("copies"))
