@@ -415,6 +415,13 @@ def test_line_dedup_of_short_lines(spark):
     assert {(r.doc_id, k) for r in got for k in r.removed} == later(rows, 1) != later(rows)
 
 
+def test_line_dedup_before_a_last_newline(spark):
+    words = [f"term{k}" for k in range(60)]
+    rows = [(2 * k + e, " ".join(words[6 * k : 6 * k + 5 + e]) + "\n" * (2 * e)) for k in range(10) for e in (0, 1)]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(20, "doc_id")).collect()
+    assert {(r.doc_id, k) for r in got for k in r.removed} == later(rows) == {(2 * k + 1, 0) for k in range(10)}
+
+
 # shared
 def test_words_match_the_pattern():
     rng = np.random.default_rng(6)

@@ -125,13 +125,12 @@ def line_entries(docs: DataFrame, counts: np.ndarray, several: np.ndarray, first
                 order = np.argsort((x.line.astype(U) << U(32)) | rare.astype(U), kind="stable")
                 bit = spread & U(127)
                 one = U(1) << (bit & U(63))
-                cut = np.minimum(x.at[:-1], max(len(one) - 1, 0))
-                empty = n == 0
+                full = np.flatnonzero(n)  # reduceat needs each start below the next one and below the end
                 sig = []
                 for half in (0, 1):
-                    o = np.where((bit >> U(6)) == half, one, U(0))
-                    s = np.bitwise_or.reduceat(o, cut) if len(o) else np.zeros(len(n), U)
-                    s[empty] = 0
+                    s = np.zeros(len(n), U)
+                    if len(full):
+                        s[full] = np.bitwise_or.reduceat(np.where((bit >> U(6)) == half, one, U(0)), x.at[full])
                     sig.append(s)
                 size = prefix_length(n[use])
                 first = np.concatenate([[0], np.cumsum(size)])
