@@ -206,6 +206,12 @@ def test_score_does_not_depend_on_the_head(documents):
     assert len(few) == documents.select("doc_id").distinct().count() and few == pytest.approx(all_, rel=1e-9)
 
 
+def test_piece_weights_do_not_depend_on_the_layout(documents):
+    p = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    one, many = (lattice.train(documents.repartition(k), p)[2] for k in (1, 7))
+    assert np.allclose(one, many, rtol=1e-9)
+
+
 # 6 near duplicates
 def groups(rows):
     sets = {}

@@ -240,9 +240,9 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = 2, floor: float = 0.05)
                             continue
                         h, at, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
                         at = mine[at]
-                        # subword paths serve rare words: each distinct word counts once a slice
-                        total[k, :P] += lattice(w.data, w.start[at], w.end[at], pieces, logp[k : k + 1], np.ones(len(at)))[1]
-                        total[k, P] += len(at)
+                        # every occurrence counts, so how files and batches cut the texts doesn't matter
+                        total[k, :P] += lattice(w.data, w.start[at], w.end[at], pieces, logp[k : k + 1], n.astype(float))[1]
+                        total[k, P] += n.sum()
                         if first:
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), longs(h), pa.array(n), pa.nulls(len(h), pa.float64())], names)
             k, p = np.nonzero(total)
