@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType, StructField, StructType
 
 # Arrow's own pools keep freed batches; the system's gives them back, and executors' memory is shared with the JVM.
 pa.set_memory_pool(pa.system_memory_pool())
+# With a fixed threshold (M_MMAP_THRESHOLD) glibc gives large freed arrays back too.
+if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+    libc.mallopt(-3, 4 << 20)
 
 #: Batches between the JVM and kernels while a durable table is written: both sides hold several at a time.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2500", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Rows of a keyed lookup table that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 100_000
 
@@ -64,6 +71,47 @@ def drop_durable(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession, tables: list[DataFrame], broadcasts=()) -> None:
+    """Give back what a finished step holds: durable tables, broadcasts, and shuffle files of plans that nothing refers to."""
+    for t in tables:
+        drop_durable(t)
+    for b in broadcasts:
+        b.destroy()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """About the bytes of all texts, which tables and buckets are sized by: the plan's estimate, or a count where that can't be true."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 54:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 3 * size // 2
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__node``, a long for each row that follows the order of doc_id: doc_id itself where it can be that.
+
+    Where ids are null, repeated or no integers, rows are written in order of
+    doc_id, nulls last, and a hash of the text, and numbered by range partition and place.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        if not docs.groupBy("doc_id").count().agg(F.count(F.when(F.expr("count > 1 or doc_id is null"), 1))).first()[0]:
+            return docs.withColumn("__node", F.col("doc_id").cast("bigint"))
+    names = docs.columns
+
+    def number(batches):
+        at = TaskContext.get().partitionId() << 40
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.arange(at, at + b.num_rows))], [*names, "__node"])
+            at += b.num_rows
+
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    sorted_ = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return durable(sorted_.mapInArrow(number, StructType([*docs.schema.fields, StructField("__node", LongType())])))
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``small`` (one row a key, already durable) onto ``big`` by ``keys``, nulls equal.
 
@@ -78,7 +126,8 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     for k in keys:
         c = big[k].eqNullSafe(renamed[f"__k_{k}"])
         cond = c if cond is None else cond & c
-    return big.join(renamed, cond, how).drop(*[f"__k_{k}" for k in keys])
+    out = big.join(renamed, cond, how)
+    return out if how == "left_semi" else out.drop(*[f"__k_{k}" for k in keys])
 
 
 def lowest(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
@@ -143,13 +192,13 @@ class Bloom:
             yield mix(keys ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & (2**64 - 1))) & np.uint64(m - 1)
 
     @classmethod
-    def collect(cls, keys: DataFrame, column: str, max_log2: int = 26) -> "Bloom":
+    def collect(cls, keys: DataFrame, column: str, max_log2: int = 28, n: int | None = None) -> "Bloom":
         """Build from a distributed table: each task folds its keys into pages of 8 KB, pages are or-ed.
 
-        The filter's size follows the key count up to the fixed bound of
-        2**max_log2 bits (8 MB), the only thing that reaches the driver.
+        The filter's size follows the key count (``n`` if known) up to the fixed
+        bound of 2**max_log2 bits (32 MB), the only thing that reaches the driver.
         """
-        n = keys.count()
+        n = keys.count() if n is None else n
         log2 = int(min(max_log2, max(16, np.ceil(np.log2(max(n, 1) * 12)))))
         page = 1 << 16
 
@@ -172,8 +221,9 @@ class Bloom:
                 acc = w.copy() if acc is None else acc | w
             return pa.table({"page": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([acc.tobytes()], pa.binary())})
 
-        parts = keys.select(F.col(column).cast("long")).na.drop().mapInArrow(fold, "page int, bits binary")
-        if parts.rdd.getNumPartitions() > 1:
+        keys = keys.select(F.col(column).cast("long")).na.drop()
+        parts = keys.mapInArrow(fold, "page int, bits binary")
+        if keys.rdd.getNumPartitions() << log2 > 1 << 28:  # more than 32 MB of pages: or-ed before they come to the driver
             parts = parts.groupBy("page").applyInArrow(union, "page int, bits binary")
         out = np.zeros((1 << log2) // page * (page // 8), np.uint8)
         for r in parts.toLocalIterator():

@@ -276,21 +276,40 @@ def finish(nodes: DataFrame, sets: DataFrame, earlier: bool, block: int = 512) -
     return durable(here.groupBy("hot", "block").cogroup(there.groupBy("hot", "block")).applyInArrow(meet, PAIR))
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Longs of a binary column, and where each row's begin."""
+    size = np.array([len(v.as_buffer()) for v in column], np.int64) // 8
+    data = np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint64) if len(size) else np.zeros(0, np.uint64)
+    return data, np.concatenate([[0], np.cumsum(size)])
+
+
+def _spans(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    size = first[rows + 1] - first[rows]
+    at = np.concatenate([[0], np.cumsum(size)])
+    return np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(first[rows], size)
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with their exact intersection, of those that reach the threshold; ``sets``: (doc, line, s), s sorted longs as binary."""
     a, b = sets.toDF("a_doc", "a_line", "a_s"), sets.toDF("b_doc", "b_line", "b_s")
-    both = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"])
+    # one plan at every size: both sides grow with the corpus
+    both = pairs.join(a.hint("merge"), ["a_doc", "a_line"]).join(b.hint("merge"), ["b_doc", "b_line"])
 
     def run(batches):
         for t in batches:
             keep = np.zeros(t.num_rows, bool)
-            for k, (x, y) in enumerate(zip(t.column("a_s"), t.column("b_s"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if DEN * min(len(x), len(y)) >= NUM * max(len(x), len(y)):
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep[k] = DEN * shared >= NUM * (len(x) + len(y) - shared)
+            (x, xs), (y, ys) = (_flat(t.column(c)) for c in ("a_s", "b_s"))
+            nx, ny = np.diff(xs), np.diff(ys)
+            fit = np.flatnonzero(DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny))
+            for at in range(0, len(fit), 512):
+                some = fit[at : at + 512]
+                pair = np.concatenate([np.repeat(some, nx[some]), np.repeat(some, ny[some])])
+                value = np.concatenate([x[_spans(xs, some)], y[_spans(ys, some)]])
+                order = np.lexsort((value, pair))
+                pair, value = pair[order], value[order]
+                twice = (value[1:] == value[:-1]) & (pair[1:] == pair[:-1])
+                shared = np.bincount(pair[1:][twice], minlength=t.num_rows)[some]
+                keep[some] = DEN * shared >= NUM * (nx[some] + ny[some] - shared)
             yield pa.RecordBatch.from_arrays([t.column(c) for c in names], names).filter(pa.array(keep))
 
     names = ["a_doc", "a_line", "b_doc", "b_line"]
