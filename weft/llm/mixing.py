@@ -11,8 +11,10 @@ rest best.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 take 0 words; an empty table gives an empty
-result; equal rows (same id, source and text) share one fate. A clashing extra
-column does no harm: only doc_id, source and text are read.
+result; a null doc_id is an id like any other. Equal rows (same id, source and
+text) are units with draws of their own: the row's hash and the unit's number,
+so neither their number nor the layout of files matters. A clashing extra column does
+no harm: only doc_id, source and text are read.
 """
 
 from __future__ import annotations
@@ -64,20 +66,36 @@ def _odds(p: Column, u: Column) -> Column:
     return F.when(p >= 1, F.lit(0.0)).otherwise((u / (1 - u)) / (p / (1 - p)))
 
 
+def _row_hash(seed: int) -> Column:
+    cols = [F.col(c) for c in ("doc_id", "source", "text")]
+    return F.xxhash64(F.lit(seed), *cols, *[c.isNull() for c in cols])
+
+
+def _unit_hash(row: str, k: Column) -> Column:
+    return F.xxhash64(F.col(row), k.cast("long"))
+
+
+def units(docs: DataFrame, seed: int, run: int = 1 << 16) -> DataFrame:
+    """Durable (doc_id, source, size, row, times, h): a row for each document, ``times`` how many equal ones there are, ``h`` its own hash.
+
+    Equal rows are counted, which adds up in every task, and numbered when they are spread out again, in runs.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _row_hash(seed).alias("row"))
+    rows = durable(rows.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("times")))
+    one = rows.filter("times = 1").withColumn("k", F.lit(0).cast("long"))
+    many = rows.filter("times > 1").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(run).cast("long"))))
+    many = many.hint("rebalance").withColumn("k", F.explode(F.sequence("from", F.least(F.col("times"), F.col("from") + run) - 1))).drop("from")
+    out = one.unionByName(many)
+    return durable(out.select("doc_id", "source", "size", "row", "times", _unit_hash("row", F.col("k")).alias("h")))
+
+
 def mix(docs: DataFrame, seed: int = 20240, max_repeats: int = 3, importance=length_importance) -> tuple[DataFrame, DataFrame]:
     """Decide the copies of every document.
 
-    Returns (rows, chosen): ``rows`` has doc_id, source, size and the row hash
+    Returns (rows, chosen): ``rows`` has doc_id, source, size and the hashes
     of all documents, ``chosen`` adds source_size, target, copies and taken.
     """
-    rows = durable(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text")).alias("h"),
-        )
-    )
+    rows = units(docs, seed)
     plan, levels = plan_mix(rows, max_repeats, importance)
     return rows, apply_mix(rows, plan, levels, importance)
 
@@ -152,13 +170,27 @@ def apply_mix(rows: DataFrame, plan: DataFrame, levels: DataFrame, importance) -
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, columns unchanged."""
-    max_repeats, importance, seed = options.get("max_repeats", 3), options.get("importance", length_importance), options.get("seed", 20240)
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
-    rows = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("h")))
+def mixed_documents(docs: DataFrame, seed: int = 20240, max_repeats: int = 3, importance=length_importance) -> DataFrame:
+    """The mixed corpus: every document as often as the mix takes it, columns unchanged.
+
+    The plan is one row a source and level, so texts are decided on where they
+    lie. Equal rows share their copies out evenly; what is left over is added
+    by one of them.
+    """
+    rows = units(docs, seed)
     plan, levels = plan_mix(rows, max_repeats, importance)
-    one = F.struct(*docs.columns).alias("__d")
-    full = docs.select(one, "source", word_count(F.col("text")).alias("size"), key.alias("h"))
-    out = apply_mix(full, plan, levels, importance).filter("copies > 0")
-    return out.select("__d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__d.*")
+    equal = rows.filter("times > 1")
+    equal = durable(apply_mix(equal, plan, levels, importance).groupBy("row").agg(F.first("times").alias("times"), F.sum("copies").alias("all")))
+    names = docs.columns
+    full = docs.select(F.struct(*names).alias("__d"), "source", word_count(F.col("text")).alias("size"), _row_hash(seed).alias("row"))
+    full = apply_mix(full.withColumn("h", _unit_hash("row", F.lit(0))), plan, levels, importance)
+    repeats = not equal.isEmpty()
+    if repeats:
+        full = lookup_join(full, equal, ["row"]).withColumn("copies", F.coalesce(F.floor(F.col("all") / F.col("times")), F.col("copies")))
+    spread = lambda df: df.filter("copies > 0").select("__d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__d.*")
+    out = spread(full)
+    if repeats:
+        left = durable(equal.select("row", (F.col("all") % F.col("times")).alias("copies")).filter("copies > 0"))
+        some = lookup_join(docs.select(F.struct(*names).alias("__d"), _row_hash(seed).alias("row")), left, ["row"], "inner")
+        out = out.unionByName(spread(some.groupBy("row").agg(F.first("__d").alias("__d"), F.first("copies").alias("copies"))))
+    return out
