@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Bloom, durable, hashed_counts, longs, slices, strings
+from weft.llm.common import Bloom, durable, hashed_counts, longs, release, slices, strings
 from weft.llm.kernels import U, Words, distinct, mix, set_digest, windows
 from weft.llm.simjoin import DEN, NUM, components, finish, first_pairs, hot_groups, lists, verify
 
@@ -151,14 +151,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
     )
     classes = durable(classes)
     nodes = classes.filter("doc is not null")
-    listed = lists(list_entries(nodes, k))
+    listed = list_entries(nodes, k)
+    rows, listed = listed, lists(listed)
     # documents of one id with several texts are one node
     edges = durable(classes.join(measured.select("d1", "d2", "doc_id").filter("doc_id is not null"), ["d1", "d2"]).filter("doc <> doc_id").select(F.col("doc").alias("u"), F.col("doc_id").alias("v")).distinct()) if _repeats(measured) else None
 
     def confirm(pairs):
         pairs = durable(sketch_filter(pairs, nodes, k))
         wanted = durable(pairs.select(F.col("a_doc").alias("doc")).unionByName(pairs.select(F.col("b_doc").alias("doc"))).distinct())
-        return durable(verify(pairs, full_sets(docs, wanted, shingle)).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v")).distinct())
+        sets = full_sets(docs, wanted, shingle)
+        out = durable(verify(pairs, sets).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v")).distinct())
+        release(docs.sparkSession, [pairs, wanted, sets])
+        return out
 
     pairs, entries = first_pairs(listed, cap)
     links = confirm(pairs)
@@ -172,6 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, k: int = K, cap: int = 32
         more = finish(hot, full_sets(docs, hot, shingle), False).select(F.col("a_doc").alias("u"), F.col("b_doc").alias("v"))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
+    release(docs.sparkSession, [rows, pairs, entries])
     of_class = durable(classes.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("d1", "d2", F.coalesce("comp", "doc").alias("component")))
     out = measured.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
