@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the shared folder and hands it to the next stage. All stages
 but the last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives an empty table; extra
+columns go along whatever their names; rows with a null doc_id or a doc_id that
+occurs several times are documents of their own. Null and empty texts and texts
+without a word fail the quality rules; handed to a later stage, line dedup and
+near-dedup keep them, mixing takes none of them and packing gives an end token
+alone. Equal rows: the rules treat them alike, line dedup takes the lines of
+all but the first, near-dedup keeps one, mixing draws for each.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import linededup, minhash, mixing, packing, quality
-from weft.llm.common import durable
+from weft.llm.common import durable, numbered, release
 from weft.llm.queries import tokenizer_path
 
 
@@ -27,10 +35,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    kept = durable(kept)
-    return docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each near-duplicate group: the first by doc_id."""
+    rows = numbered(docs)
+    found = minhash.near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"))
+    gone = durable(found.filter("not kept").select(F.col("doc_id").alias("__gone")))
+    return rows.join(gone, F.col("__node") == F.col("__gone"), "left_anti").drop("__node")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, durable(stage(spark, docs, sf_dir))
+        release(spark, [before] if k else [])
     return docs
