@@ -416,30 +416,66 @@ def test_warc(spark, tmp_path):
 
 
 # 9 nearest neighbours
-def test_nearest(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(900, 16)).astype(np.float32)
-    rows = [(k, x[k].tolist()) for k in range(900)] + [(1000 + k, x[50].tolist()) for k in range(300)]  # a large group of copies
-    rows += [(2000, None), (2001, [0.0] * 16), (2050, [float("nan")] * 16), (2052, [1.0] * 15 + [None]), (2053, [1.0, 2.0]), (2100, [float("inf")] + [1.0] * 15), (7, x[7].tolist())]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS shard", "2 AS score")
+def nearest_of(rows, every=50, k=5):
+    """Brute force over scaled vectors: {query: [(-score, id), ...]}, an id counts once, by its nearest vector of the query's length."""
+    ok = defaultdict(set)
+    for i, v in rows:
+        if i is not None and v and None not in v and np.isfinite(v).all() and any(v):
+            ok[i].add(tuple(float(x) for x in v))
+    unit = {i: [np.array(v) / np.abs(v).max() for v in sorted(vs, key=lambda v: (len(v), v))] for i, vs in ok.items()}
+    unit = {i: [v / np.linalg.norm(v) for v in vs] for i, vs in unit.items()}
+    out = {}
+    for q in unit:
+        if q % every == 0:
+            x = unit[q][0]
+            near = {i: max((float(x @ v) for v in vs if len(v) == len(x)), default=None) for i, vs in unit.items() if i != q}
+            out[q] = sorted((-s, i) for i, s in near.items() if s is not None)[:k]
+    return out
+
+
+def answers(df, **options):
     got = defaultdict(list)
-    for r in ann.nearest(df, size=64, rounds=1).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    ok = {k: np.array(v, float) for k, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
-    assert set(got) == {k for k in ok if k % 50 == 0}
-    hit = 0
+    for r in ann.nearest(df, **options).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+def recall(got, want):
+    assert set(got) == {q for q in want if want[q]}
     for q, found in got.items():
-        near = sorted((-(ok[q] * v).sum() / (np.sqrt((ok[q] ** 2).sum()) * np.sqrt((v**2).sum())), k) for k, v in ok.items() if k != q)[:5]
-        assert len(found) == 5 and q not in {v for v, _ in found}
-        for v, s in found:
-            assert s == pytest.approx((ok[q] * ok[v]).sum() / (np.linalg.norm(ok[q]) * np.linalg.norm(ok[v])), abs=1e-12)
-        assert [(-s, v) for v, s in found] == sorted((-s, v) for v, s in found)
-        hit += len({k for _, k in near} & {v for v, _ in found})
-    assert hit >= 0.9 * 5 * len(got)
-    assert [v for v, _ in got[50]] == [1000, 1001, 1002, 1003, 1004]
-    assert ann.nearest(empty(df)).count() == 0
-    few = ann.nearest(spark.createDataFrame(rows[:3], df.select("vec_id", "embedding").schema)).collect()
-    assert [r.rank for r in few] == [1, 2]
+        assert found == sorted(found) and len(found) == len(want[q]) and q not in {v for _, v in found}
+    return sum(len({v for _, v in found} & {v for _, v in want[q]}) for q, found in got.items()) / sum(map(len, got.values()))
+
+
+@pytest.mark.parametrize("options", [{"few": 10, "shard_rows": 700, "rerank": 200, "size": 64, "books": 8}, {}])
+def test_nearest(spark, options):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    rows = [(k, x[k].tolist()) for k in range(3000)] + [(10_000 + k, x[50].tolist()) for k in range(300)]  # a large group of copies
+    rows += [(20_000, None), (20_001, [0.0] * 16), (20_050, [float("nan")] * 16), (20_052, [1.0] * 15 + [None]), (20_100, [float("inf")] + [1.0] * 15), (7, x[7].tolist())]
+    rows += [(30_000 + k, rng.normal(size=3).tolist()) for k in range(120)] + [(40_000, [1.0, 2.0]), (None, x[3].tolist())]  # other lengths
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS shard", "2 AS score")
+    want, got = nearest_of([(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in rows]), answers(df, **options)
+    assert recall(got, want) >= (0.9 if options else 1)
+    score = {q: dict((v, s) for s, v in near) for q, near in want.items()}
+    assert all(s == pytest.approx(score[q][v], abs=1e-12) for q, found in got.items() for s, v in found if v in score[q])
+    assert [v for _, v in got[50]] == [10_000, 10_001, 10_002, 10_003, 10_004]
+
+
+def test_nearest_of_repeated_rows_and_extreme_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    rows = [(k, x[k].tolist()) for k in range(400)] + [(7, x[50].tolist())] * 20 + [(1000, x[50].tolist()), (1001, x[50].tolist())]
+    rows += [(2000, (x[100] * 1e200).tolist()), (2001, (x[100] * 1e-200).tolist()), (2002, (x[100] * 1e-310).tolist()), (150, x[3].tolist()), (150, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for options in ({}, {"few": 10, "shard_rows": 150, "rerank": 150, "size": 64, "books": 8}):
+        got = answers(df, **options)
+        assert {7, 1000, 1001} <= {v for _, v in got[50]} and len({v for _, v in got[50]}) == 5
+        assert {2000, 2001, 2002} <= {v for _, v in got[100]} and all(np.isfinite(s) for s, _ in got[100])
+        assert recall(got, nearest_of(rows)) >= 0.9
+    assert ann.nearest(df.filter("false")).count() == 0
+    assert [r.rank for r in ann.nearest(spark.createDataFrame(rows[:3], df.schema)).collect()] == [1, 2]
 
 
 # 10 line dedup
