@@ -245,7 +245,7 @@ def test_lattice_is_the_sum_over_segmentations():
         x = b" " + w
         a = [0.0] + [-math.inf] * len(x)
         for j in range(1, len(x) + 1):
-            for i in range(max(0, j - lattice.MOST), j):
+            for i in range(j):
                 if x[i:j] in at:
                     a[j] = np.logaddexp(a[j], a[i] + at[x[i:j]])
         assert got == pytest.approx(a[-1] + lp[0, -1])
@@ -255,7 +255,7 @@ def test_lattice_is_the_sum_over_segmentations():
 
 @pytest.mark.parametrize("head", [10, 1 << 20])
 def test_scores(documents, head):
-    got = lattice.score_documents(documents, tokenizer_path("piece_bpe_32k.model"), 2, head).collect()
+    got = lattice.score_documents(documents, tokenizer_path("piece_bpe_32k.model"), head=head).collect()
     rows = [(r.doc_id, [*WORD.findall(lower(r.text or "")), None]) for r in documents.collect()]
     train = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
     c = Counter(w for d, ws in rows if train(d) for w in ws)
@@ -270,10 +270,47 @@ def test_scores(documents, head):
 
 
 def test_score_does_not_depend_on_the_head(documents):
-    few, all_ = ({(r.doc_id, r.n_tokens): r.score for r in lattice.score_documents(documents, tokenizer_path("piece_bpe_32k.model"), 2, head).collect()} for head in (10, 1 << 20))
+    few, all_ = ({(r.doc_id, r.n_tokens): r.score for r in lattice.score_documents(documents, tokenizer_path("piece_bpe_32k.model"), head=head).collect()} for head in (10, 1 << 20))
     assert len(few) == documents.select("doc_id").distinct().count() and few == pytest.approx(all_, rel=1e-9)
 
 
+def test_score_depends_on_training_rows_alone(documents):
+    path = tokenizer_path("piece_bpe_32k.model")
+    held = lattice.fold(F.col("doc_id")) == 1
+    scored = lambda d, **o: {(r.doc_id, r.n_tokens): r.score for r in lattice.score_documents(d, path, **o).collect()}
+    want = scored(documents)
+    other = documents.withColumn("lang", F.when(held, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("lang")))
+    assert scored(other) == pytest.approx(want, rel=1e-9)
+    assert scored(documents.repartition(7)) == pytest.approx(want, rel=1e-9)
+    nulls = documents.withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert all(r.score < 0 and not r.held_out for r in lattice.score_documents(nulls, path).collect())
+
+
+def test_score_of_existing_scores_alone(documents):
+    """Without rounds and whole words a document's probability is the product of its words' lattices, by brute force."""
+    p = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    lp = p.first_weights()
+    at = {n: lp[i] for i, n in enumerate(p.names)}
+
+    def spelled(w):
+        x = b" " + w.encode()
+        a = [0.0] + [-math.inf] * len(x)
+        for j in range(1, len(x) + 1):
+            for i in range(j):
+                if x[i:j] in at:
+                    a[j] = np.logaddexp(a[j], a[i] + at[x[i:j]])
+        return (a[-1] + lp[-1]) / math.log(10)
+
+    rows = [(1, "the cat sat"), (2, "The naïve dog"), (3, ""), (4, None), (11, "cat")]
+    docs = documents.sparkSession.createDataFrame(rows, "doc_id bigint, text string")
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    n, ends = sum(len(WORD.findall(t)) for t in train), len(train)
+    for r in lattice.score_documents(docs, tokenizer_path("piece_bpe_32k.model"), rounds=0, words=False).collect():
+        words = WORD.findall(lower(dict(rows)[r.doc_id] or ""))
+        want = sum(spelled(w) + math.log10(n / (n + ends)) for w in words) + math.log10(ends / (n + ends))
+        assert r.score == pytest.approx(want, rel=1e-9)
+
+
 def test_piece_weights_do_not_depend_on_the_layout(documents):
     p = lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
     one, many = (lattice.train(documents.repartition(k), p)[2] for k in (1, 7))

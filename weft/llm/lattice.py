@@ -3,16 +3,22 @@
 A text is its words (A-Z lower-cased) and one end symbol. A word's lattice has
 all segmentations of a space and its bytes into pieces of an existing
 vocabulary (its normal pieces, and all single bytes), closed by an end-of-word
-symbol, and beside them the edge of the whole word where the training corpus
-has it often enough. Log-space forward recursion adds all paths up. The
-vocabulary's own scores (ranks) weight the first lattice; expected piece counts
-over all training documents (forward-backward) re-estimate the unigram weights;
-whole-word edges are absolute-discounted counts, and the discounted mass is the
-weight of the subword paths.
+symbol. Log-space forward recursion adds all paths up.
 
-Weights are kept for each of the most frequent values of ``lang`` (at most
-COMPONENTS - 1, the rest pooled). A document's probability is the marginal over
-segmentations and components: its own ``lang`` isn't looked at.
+The vocabulary's own scores (ranks, as a Zipf law) weight all segmentations
+first, and forward-backward under those weights gives each piece's expected
+count over all occurrences of all training words. A piece's weight is its
+expected count and ``prior`` pseudo-counts dealt out by the vocabulary's scores,
+so existing scores rule where the corpus says little. ``rounds=0`` keeps the
+existing scores as they are.
+
+With ``words`` the lattice of a word that the training corpus has also holds the
+edge of the whole word: an absolute-discounted count; the discounted mass is the
+weight of the subword paths. Without, only subword paths count.
+
+Weights are kept for each of the most frequent values of ``lang`` among training
+documents (at most COMPONENTS - 1, the rest pooled). A document's probability is
+the marginal over segmentations and components: its own ``lang`` isn't looked at.
 
 The base is the add-half word unigram. Word counts are exact and stay
 distributed: the most frequent words (bounded number) are broadcast, all others
@@ -36,8 +42,8 @@ from weft.llm.common import durable, longs, slices, strings
 from weft.llm.kernels import R, RINV, U, Words, _pow
 
 SPREAD = U(0xD6E8FEB86659FD93)
-#: Longest piece in bytes, its space included; words beyond LONG bytes take the per-word path.
-MOST, LONG = 24, 48
+#: Words beyond this many bytes take the per-word path.
+LONG = 48
 #: Words whose counts are broadcast.
 HEAD = 1 << 20
 #: Mixture components, the pooled one included.
@@ -53,7 +59,7 @@ class Pieces:
         lens = np.array([len(x) for x in names])
         data = np.frombuffer(b"".join(names), np.uint8)
         off = np.concatenate([[0], np.cumsum(lens)])
-        powers = _pow(R, MOST)
+        powers = _pow(R, int(lens.max()))
         keys = np.array([(data[a:b].astype(U) + U(1)) @ powers[: b - a] for a, b in zip(off[:-1], off[1:], strict=True)], U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order
@@ -76,7 +82,7 @@ class Pieces:
                 continue
             x = sp.id_to_piece(i).replace("▁", " ").encode()
             x = bytes(c + 32 if 65 <= c <= 90 else c for c in x)
-            if len(x) <= MOST and b" " not in x[1:]:
+            if b" " not in x[1:]:
                 names[x] = min(names.get(x, np.inf), -sp.get_score(i))
         worst = max(names.values(), default=0.0) + 1
         for b in range(256):
@@ -109,7 +115,7 @@ def lattice(data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces
     size = end - start + 1
     order = np.argsort(size, kind="stable")
     cuts = np.flatnonzero(np.diff(size[order], prepend=-1))
-    for a, z in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+    for a, z in zip(cuts, np.append(cuts[1:], len(order))[: len(cuts)], strict=True):
         L = int(size[order[a]])
         step = max(1, (1 << 20) // L)
         for k in range(a, z, step):
@@ -210,17 +216,19 @@ def components(docs: DataFrame) -> list[str]:
     return [r["lang"] for r in rows]
 
 
-def train(docs: DataFrame, pieces: Pieces, rounds: int = 2, floor: float = 0.05) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, pieces: Pieces, rounds: int = 1, prior: float = 2000.0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Exact word counts of the training documents (h, n in all, n0.. by component), documents by component, and log piece weights (components, pieces + end of word)."""
     spark = docs.sparkSession
-    langs = components(docs)
+    training = docs.filter(fold(F.col("doc_id")) != 1)
+    langs = components(training)
     K = len(langs) + 1
     which = F.lit(K - 1)
     for k, x in enumerate(langs):
         which = F.when(F.col("lang") == x, k).otherwise(which)
-    text = docs.filter(fold(F.col("doc_id")) != 1).select(F.coalesce("text", F.lit("")).alias("text"), which.cast("int").alias("k"))
-    logp, words, ends = np.tile(pieces.first_weights(), (K, 1)), None, np.zeros(K, np.int64)
-    for r in range(rounds):
+    text = training.select(F.coalesce("text", F.lit("")).alias("text"), which.cast("int").alias("k"))
+    existing = pieces.first_weights()
+    logp, words, ends = np.tile(existing, (K, 1)), None, np.zeros(K, np.int64)
+    for r in range(max(rounds, 1)):
         bound = spark.sparkContext.broadcast((pieces, logp))
 
         def run(batches, first=(r == 0)):
@@ -259,12 +267,15 @@ def train(docs: DataFrame, pieces: Pieces, rounds: int = 2, floor: float = 0.05)
             words = durable(told.filter("h is not null and e is null").groupBy("h").agg(F.sum("n").alias("n"), *by))
             for row in told.filter("h is null").groupBy("k").agg(F.sum("n").alias("n")).collect():
                 ends[row["k"]] = row["n"]
-        total += floor * (1 + total.sum(axis=0)) / (1 + total.sum()) * 100 + floor  # a little of the other components' use
-        logp = np.log(total / total.sum(axis=1, keepdims=True))
+        bound.destroy()
+        if rounds:
+            pooled = prior * np.exp(existing) + total.sum(axis=0)  # a component's prior: the vocabulary's scores and a little of all components' use
+            total += prior * np.exp(existing) + prior * pooled / pooled.sum()
+            logp = np.log(total / total.sum(axis=1, keepdims=True))
     return words, ends, logp
 
 
-def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, logp: np.ndarray, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, logp: np.ndarray, head: int = HEAD, whole_words: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     K, by = len(ends), [f"n{k}" for k in range(len(ends))]
@@ -285,9 +296,10 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
     whole = len(key) == sums["v"]
     norm = float(np.log10(N + 0.5 * (V + 1)))
     size = np.array([sums[c] for c in by], float)
-    kept = np.array([sums[c] - DISCOUNT * sums[f"v{c}"] for c in by])
+    kept = np.array([sums[c] - DISCOUNT * sums[f"v{c}"] for c in by]) * whole_words
     spelled = np.log(np.maximum(1 - kept / np.maximum(size, 1), 1e-6))  # weight of the subword paths
     size = np.maximum(size, 1)
+    each = size if whole_words else np.full(K, np.inf)  # what counts are divided by on whole-word edges
     go, stop = np.log10(size / (size + np.maximum(ends, 1))), np.log10(np.maximum(ends, 1) / (size + np.maximum(ends, 1)))
     share = np.log10((ends + 0.5) / (ends + 0.5).sum())
 
@@ -309,7 +321,7 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
                 for c in range(K):
                     p = np.exp(ll[c] + spelled[c])
                     if len(key):
-                        p += np.where(known, np.maximum(counts[c + 1][k] - DISCOUNT, 0) / size[c], 0)
+                        p += np.where(known, np.maximum(counts[c + 1][k] - DISCOUNT, 0) / each[c], 0)
                     p = np.where(p > 1e-290, np.log10(np.maximum(p, 1e-300)), (ll[c] + spelled[c]) / np.log(10))
                     doc[c] = np.bincount(w.doc, np.where(here, p, 0)[which], texts) + w.count * go[c] + stop[c] + share[c]
                 base = np.where(here, np.log10(np.where(known, counts[0][k] if len(key) else 0, 0) + 0.5) - norm, 0)
@@ -339,7 +351,7 @@ def score(docs: DataFrame, pieces: Pieces, words: DataFrame, ends: np.ndarray, l
         c = F.coalesce("n", F.lit(0))
         sums = [F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * (F.log10(c + 0.5) - F.lit(norm))).alias("b2")]
         for k in range(K):
-            p = F.exp(f"s{k}") + F.greatest(F.coalesce(f"n{k}", F.lit(0)) - F.lit(DISCOUNT), F.lit(0.0)) / F.lit(float(size[k]))
+            p = F.exp(f"s{k}") + F.greatest(F.coalesce(f"n{k}", F.lit(0)) - F.lit(DISCOUNT), F.lit(0.0)) / F.lit(float(each[k]))
             sums.append(F.sum(F.col("times") * F.when(p > 1e-290, F.log10(p)).otherwise(F.col(f"s{k}") / F.lit(float(np.log(10))))).alias(f"t{k}"))
         out = out.join(tail.groupBy("ref").agg(*sums), "ref", "left").withColumn("n_known", F.col("n_known") + F.coalesce("k2", F.lit(0))).withColumn("base", F.col("base") + F.coalesce("b2", F.lit(0.0)))
         for k in range(K):
@@ -354,7 +366,7 @@ def _pairs(doc, which, words):
     return np.stack([key // words, key % words]), n
 
 
-def score_documents(docs: DataFrame, path: str, rounds: int = 2, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, path: str, rounds: int = 1, prior: float = 2000.0, head: int = HEAD, words: bool = True) -> DataFrame:
     pieces = Pieces.load(path)
-    words, ends, logp = train(docs, pieces, rounds)
-    return score(docs, pieces, words, ends, logp, head)
+    counts, ends, logp = train(docs, pieces, rounds, prior)
+    return score(docs, pieces, counts, ends, logp, head, words)
