@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from machines import BITNOISE, INDEL, STUTTER, random_machine, score
+from machines import DASHES, KEEP, RUN, RUNS, SLIP, all_paths, random_machine, score
 
 from weft import cli
 from weft.functions import generators as Gen
@@ -20,7 +20,6 @@ from weft.plans.machine import Edge, Machine
 from weft.sources import formats as S
 from weft.sources.regex import regex
 
-PQ = {"p": 0.99, "q": 0.01}
 
 
 def M(x):
@@ -81,7 +80,7 @@ def test_loader_rejects_bad_machines():
 
 
 def test_json_round_trip_and_options():
-    for x in (BITNOISE, STUTTER, INDEL):
+    for x in (SLIP, DASHES, RUNS):
         m = M(x)
         assert M(m.to_json()).edges == m.edges
     m = M({"state": [{"trans": [{"to": 0, "in": c, "weight": {"*": [{"+": ["x", "y"]}, k]}} for k, c in ((2, "a"), (3, "b"))]}]})
@@ -90,34 +89,34 @@ def test_json_round_trip_and_options():
     assert score(M(j), "ab", "", {"x": 1.0, "y": 0.5}) == pytest.approx(score(m, "ab", "", {"x": 1.0, "y": 0.5}))
     named = A.concat(A.generate("a"), A.generate("b")).to_json(name_states=True)
     assert M(named).edges == A.concat(A.generate("a"), A.generate("b")).edges
-    assert M({**BITNOISE, "cons": {"norm": [["p", "q"]]}}).unconstrained() == []
+    assert M({**SLIP, "cons": {"norm": [["keep", "slip"]]}}).unconstrained() == []
     assert "digraph" in m.dot() and m.stats() == {"states": 1, "transitions": 2, "conditioned": 1, "params": 2}
 
 
 def test_tables_round_trip(spark):
-    m = G.compose(M(STUTTER), M(BITNOISE))
+    m = G.compose(M(DASHES), M(SLIP))
     assert Machine.from_tables(*m.tables(spark)).edges == m.edges
 
 
 def test_forward_and_viterbi_goldens():
-    assert score(M(BITNOISE), "101", "001", PQ) == pytest.approx(-4.625, abs=1e-3)
-    m = G.compose(M(STUTTER), M(BITNOISE))
-    assert score(m, "101", "0011", PQ) == pytest.approx(-9.26, abs=5e-3)
-    assert score(m, "101", "0011", PQ, K.MAX) == pytest.approx(-9.27, abs=5e-3)
-    v = {"ins": 0.1, "no_ins": 0.9, "del": 0.1, "no_del": 0.9}
-    assert score(M(INDEL), "xx", "xxx", v) == pytest.approx(-1.6869, abs=1e-4)
-    assert score(M(INDEL), "xx", "xxx", v, K.MAX) == pytest.approx(-2.82939, abs=1e-4)
-    assert score(M(BITNOISE), "001", "101", {"p": 0.01, "q": 0.99}) == pytest.approx(-9.22039, abs=1e-4)
+    assert score(M(SLIP), "abca", "abab", KEEP) == pytest.approx(2 * math.log(0.8) + 2 * math.log(0.2))
+    assert score(M(DASHES), "ab", "a--b") == pytest.approx(math.log(0.25**2 * 0.75**2 * 0.6))
+    m = G.compose(M(DASHES), M(SLIP))
+    assert score(m, "ab", "a--c", KEEP) == pytest.approx(math.log(0.25**2 * 0.75**2 * 0.6 * 0.8 * 0.2))
+    for x, y in (("uu", "uuu"), ("uuuu", "u"), ("uuu", "uu"), ("", "u"), ("u", "")):
+        assert score(M(RUNS), x, y, RUN) == pytest.approx(all_paths(M(RUNS), x, y, RUN))
+        assert score(M(RUNS), x, y, RUN, K.MAX) == pytest.approx(all_paths(M(RUNS), x, y, RUN, best=True))
+    assert score(M(SLIP), "ab", "bb", {"keep": 0.1, "slip": 0.9}) == pytest.approx(math.log(0.09))
 
 
 def test_counts_and_maximise():
-    m = M(BITNOISE)
-    c = K.compile_machine(m, PQ)
-    _, n = K.counts(c, c.tokens("001", "in"), c.tokens("101", "out"))
-    assert n == pytest.approx([1, 1, 0, 1])  # 0 to 0, 0 to 1, 1 to 0, 1 to 1
-    cons = {"norm": [["p", "q"]]}
+    m = M(SLIP)
+    c = K.compile_machine(m, KEEP)
+    _, n = K.counts(c, c.tokens("abcab", "in"), c.tokens("abaab", "out"))
+    assert n == pytest.approx([2, 0, 2, 0, 0, 1, 0])  # a to a, a to b, b to b, b to c, c to c, c to a, dash
+    cons = {"norm": [["keep", "slip"]]}
     got = maximise(m, cons, {(0, k): x for k, x in enumerate(n)}, {}, seed_params(cons))
-    assert got == pytest.approx({"p": 2 / 3, "q": 1 / 3})
+    assert got == pytest.approx({"keep": 0.8, "slip": 0.2})
     # the numeric route agrees with the closed form
     from weft.operators.train import _bfgs
 
@@ -127,9 +126,9 @@ def test_counts_and_maximise():
 def test_training(spark):
     from weft.operators.train import fit
 
-    df = spark.createDataFrame([(list("001"), list("101")), (list("01"), list("10"))], "x array<string>, y array<string>")
-    params, history = fit(df, M(BITNOISE), "x", "y", {"norm": [["p", "q"]]})
-    assert params == pytest.approx({"p": 0.4, "q": 0.6}) and history == sorted(history)
+    df = spark.createDataFrame([(list("abc"), list("aba")), (list("ccab"), list("cabc"))], "x array<string>, y array<string>")
+    params, history = fit(df, M(SLIP), "x", "y", {"norm": [["keep", "slip"]]})
+    assert params == pytest.approx({"keep": 3 / 7, "slip": 4 / 7}) and history == sorted(history)
 
 
 def test_count_copies():
@@ -160,9 +159,9 @@ def test_rewrites_keep_weights(seed):
 
 
 def test_backward_equals_forward_and_posteriors_add_up():
-    m = G.compose(M(STUTTER), M(BITNOISE))
-    c = K.compile_machine(m, PQ)
-    x, y = c.tokens("101", "in"), c.tokens("0011", "out")
+    m = G.compose(M(DASHES), M(SLIP))
+    c = K.compile_machine(m, KEEP)
+    x, y = c.tokens("abc", "in"), c.tokens("a-ca", "out")
     f, F = K.Grid(c, K.SUM).fill([x], [y], True)
     b, B = K.Grid(c, K.SUM, True).fill([x], [y], True)
     assert f[0] == pytest.approx(b[0]) and B[0][0, 0, 0] == pytest.approx(f[0])
@@ -173,22 +172,22 @@ def test_backward_equals_forward_and_posteriors_add_up():
 
 
 def test_count_gradient():
-    m = G.compose(M(STUTTER), M(BITNOISE))
-    c = K.compile_machine(m, PQ)
-    _, n = K.counts(c, c.tokens("101", "in"), c.tokens("0011", "out"))
-    for p in PQ:
-        got = sum(n[k] * W.evaluate(W.derive(e.weight, p), PQ) / W.evaluate(e.weight, PQ) for k, (_, _, e) in enumerate(m.all_edges()))
+    m = G.compose(M(DASHES), M(SLIP))
+    c = K.compile_machine(m, KEEP)
+    _, n = K.counts(c, c.tokens("abc", "in"), c.tokens("a-ca", "out"))
+    for p in KEEP:
+        got = sum(n[k] * W.evaluate(W.derive(e.weight, p), KEEP) / W.evaluate(e.weight, KEEP) for k, (_, _, e) in enumerate(m.all_edges()))
         h = 1e-6
-        d = (score(m, "101", "0011", PQ | {p: PQ[p] + h}) - score(m, "101", "0011", PQ | {p: PQ[p] - h})) / (2 * h)
+        d = (score(m, "abc", "a-ca", KEEP | {p: KEEP[p] + h}) - score(m, "abc", "a-ca", KEEP | {p: KEEP[p] - h})) / (2 * h)
         assert got == pytest.approx(d, rel=1e-4)
 
 
 def test_best_and_drawn_paths():
-    m = G.compose(M(STUTTER), M(BITNOISE))
-    c = K.compile_machine(m, PQ)
-    x, y = c.tokens("101", "in"), c.tokens("0011", "out")
+    m = G.compose(M(DASHES), M(SLIP))
+    c = K.compile_machine(m, KEEP)
+    x, y = c.tokens("abc", "in"), c.tokens("a-ca", "out")
     ll, path = K.trace(c, x, y)
-    assert c.lw[path].sum() == pytest.approx(ll) == pytest.approx(score(m, "101", "0011", PQ, K.MAX))
+    assert c.lw[path].sum() == pytest.approx(ll) == pytest.approx(score(m, "abc", "a-ca", KEEP, K.MAX))
     rng = np.random.default_rng(0)
     for _ in range(20):
         _, p = K.trace(c, x, y, rng)
@@ -304,9 +303,8 @@ def test_fused_counts_deletions_exactly():
 
 
 def test_position_dependent_and_aligned():
-    v = {"ins": 0.1, "no_ins": 0.9, "del": 0.1, "no_del": 0.9}
-    c = K.compile_machine(M(INDEL), v)
-    x, y = c.tokens("xx", "in"), c.tokens("xxx", "out")
+    c = K.compile_machine(M(RUNS), RUN)
+    x, y = c.tokens("uu", "in"), c.tokens("uuu", "out")
     pm = P.PositionMachine.from_machine(c, x, y)
     for ring in (K.SUM, K.MAX):
         assert pm.score(2, 3, ring) == pytest.approx(float(K.Grid(c, ring).fill([x], [y])[0]))
@@ -325,6 +323,48 @@ def test_null_sums_and_closure():
         score(Machine([[Edge(0, weight=1.5), Edge(1)], []]), "", "")
 
 
+def test_mixture_aligner_is_a_conditional_law():
+    """Outputs of any input add up to 1, and a run of omissions is a mixture of geometric lengths."""
+    m = Gen.mixture_aligner("AC", gaps=2, asymmetric=True)
+    v = {"insOpen": 0.2, "insMix1": 0.7, "insMix2": 0.3, "insExtend1": 0.1, "insExtend2": 0.6, "delOpen": 0.25, "delMix1": 0.4, "delMix2": 0.6, "delExtend1": 0.5, "delExtend2": 0.8}
+    v |= {"eqmA": 0.3, "eqmC": 0.7, "subAA": 0.9, "subAC": 0.1, "subCA": 0.2, "subCC": 0.8}
+    assert m.params() == set(v)
+    for x in ("", "A", "CA", "ACCA"):
+        assert score(A.silence_output(m), x, "", v) == pytest.approx(0, abs=1e-9)
+    # all but the last letter omitted
+    for k in range(1, 5):
+        run = sum(v[f"delMix{c}"] * v[f"delExtend{c}"] ** (k - 1) * (1 - v[f"delExtend{c}"]) for c in (1, 2))
+        want = 0.8 * 0.25 * run * 0.9 * 0.8
+        assert math.exp(score(m, "C" * k + "A", "A", v)) == pytest.approx(want + sum(_elsewhere(v, k)), rel=1e-9)
+
+
+def _elsewhere(v, k):
+    """The other ways to write A for k times C and A: the kept letter is an earlier one, or an insertion."""
+    c1, c2 = (1, 2)
+    gap = lambda n, ends: 1.0 if n == 0 else sum(v[f"delMix{c}"] * v[f"delExtend{c}"] ** (n - 1) * (1.0 if ends else 1 - v[f"delExtend{c}"]) for c in (c1, c2)) * v["delOpen"]
+    stay = lambda n: 1 - v["delOpen"] if n == 0 else 1.0
+    quiet = 1 - v["insOpen"]
+    for at in range(k):  # the C at this place is written as A
+        rest = k - at
+        yield quiet * gap(at, False) * stay(at) * v["subCA"] * quiet * gap(rest, True)
+    insert = v["insOpen"] * v["eqmA"] * sum(v[f"insMix{c}"] * (1 - v[f"insExtend{c}"]) for c in (c1, c2))
+    yield insert * gap(k + 1, True)
+
+
+def test_double_strand_and_trace_from_a_cell():
+    m = Machine([[Edge(1, "", "A", 0.5), Edge(1, "", "C", 0.25)], [Edge(2, "", "G", 1.0)], []])
+    both = G.double_strand(m)
+    assert math.exp(score(both, "", "AG")) == pytest.approx(0.25) and math.exp(score(both, "", "CG")) == pytest.approx(0.25)
+    for x, y in (("AG", "CT"), ("CG", "CG"), ("GG", "CC")):  # a sequence and its reverse complement score alike
+        assert score(both, "", x) == score(both, "", y) or score(both, "", x) == pytest.approx(score(both, "", y))
+    c = K.compile_machine(M(RUNS), RUN)
+    x, y = c.tokens("uuu", "in"), c.tokens("uu", "out")
+    _, F = K.Grid(c, K.MAX).fill([x], [y], True)
+    ll, path = K.trace(c, x, y, start=(2, 1, 1))
+    assert ll == pytest.approx(F[0][2, 1, 1]) == pytest.approx(c.lw[path].sum()) and c.dst[path[-1]] == 1
+    assert (c.inp[path] > 0).sum() == 2 and (c.out[path] > 0).sum() == 1
+
+
 def test_downsampling():
     m = Machine([[Edge(1, "", "a", 0.9), Edge(1, "", "b", 0.1)], []])
     assert G.downsample(m, size=0.5).stats()["transitions"] == 1
@@ -342,17 +382,17 @@ def test_merge_goldens():
 
 def test_command_line(tmp_path):
     f = tmp_path / "noise.json"
-    f.write_text(json.dumps(BITNOISE))
+    f.write_text(json.dumps(SLIP))
     p = tmp_path / "p.json"
-    p.write_text(json.dumps(PQ))
-    r = cli.run([str(f), "-L", "-P", str(p), "--input-chars", "101", "--output-chars", "001"])
-    assert r == [["101", "001", pytest.approx(-4.625, abs=1e-3)]]
-    assert cli.run([str(f), "-V", "-P", str(p), "--input-chars", "2", "--output-chars", "001"])[0][2] == -math.inf
-    assert cli.run([str(f), "-C", "-P", str(p), "--input-chars", "001", "--output-chars", "101"]) == pytest.approx({"p": 2, "q": 1})
+    p.write_text(json.dumps(KEEP))
+    r = cli.run([str(f), "-L", "-P", str(p), "--input-chars", "abc", "--output-chars", "bbc"])
+    assert r == [["abc", "bbc", pytest.approx(math.log(0.2 * 0.8**2))]]
+    assert cli.run([str(f), "-V", "-P", str(p), "--input-chars", "z", "--output-chars", "abc"])[0][2] == -math.inf
+    assert cli.run([str(f), "-C", "-P", str(p), "--input-chars", "abc", "--output-chars", "aba"]) == pytest.approx({"keep": 2, "slip": 1})
     got = cli.run(["(", "--generate-chars", "0", "||", "--generate-chars", "1", ")", "+", "--stats"])
     assert got["states"] > 2
-    a = cli.run([str(f), "-A", "-P", str(p), "--input-chars", "10", "--output-chars", "10"])[0]
-    assert a["alignment"] == [["1", "1"], ["0", "0"]]
+    a = cli.run([str(f), "-A", "-P", str(p), "--input-chars", "ac", "--output-chars", "ba"])[0]
+    assert a["alignment"] == [["a", "b"], ["c", "a"]]
     assert cli.run(["--preset", "bintern", "--beam-decode", "--output-chars", "12022212"])[0]["input"]["sequence"] == list("1010101")
     with pytest.raises(ValueError):
         cli.run(["--no-such-thing"])

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from machines import BITNOISE
+from machines import SLIP
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -64,19 +64,19 @@ def test_column_and_kernel_agree_on_silent_machines(spark):
 
 
 def test_envelope_confines_cells(spark):
-    m = Machine.from_json(BITNOISE)
-    m.edges[0] += [Edge(0, "0", "", 0.1), Edge(0, "", "0", 0.1)]
-    df = spark.createDataFrame([(list("00"), list("00"))], "x array<string>, y array<string>")
+    m = Machine.from_json(SLIP)
+    m.edges[0] += [Edge(0, "a", "", 0.1), Edge(0, "", "a", 0.1)]
+    df = spark.createDataFrame([(list("aa"), list("aa"))], "x array<string>, y array<string>")
     df = df.withColumn("e", F.expr("array(named_struct('lo', 0, 'hi', 1), named_struct('lo', 1, 'hi', 2), named_struct('lo', 2, 'hi', 3))"))
-    v = {"p": 0.5, "q": 0.5}
+    v = {"keep": 0.5, "slip": 0.5}
     r = I.score(df, m, "x", "y", v, envelopes="e").first()
     assert r.loglike == pytest.approx(2 * math.log(0.5))
     assert I.score(df, m, "x", "y", v).first().loglike > r.loglike
 
 
 def test_aligned_rows(spark):
-    df = spark.createDataFrame([(list("01"), list("01"), [0, 0])], "x array<string>, y array<string>, o array<int>")
-    r = P.score_aligned(df, Machine.from_json(BITNOISE), "x", "y", "o", {"p": 0.9, "q": 0.1}).first()
+    df = spark.createDataFrame([(list("ab"), list("ab"), [0, 0])], "x array<string>, y array<string>, o array<int>")
+    r = P.score_aligned(df, Machine.from_json(SLIP), "x", "y", "o", {"keep": 0.9, "slip": 0.1}).first()
     assert r.loglike == pytest.approx(2 * math.log(0.9))
 
 

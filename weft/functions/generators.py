@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+from weft.functions import weights as W
 from weft.functions.presets import CODONS, DNA, aligner, by_id, tkf_branch, tkf_root, translate
 from weft.plans.machine import Edge, Machine
 
@@ -11,25 +12,38 @@ __all__ = ["aligner", "tkf_branch", "tkf_root", "translate", "mixture_aligner",
 
 
 def mixture_aligner(alphabet, prefix: str = "psw", gaps: int = 1, asymmetric: bool = False) -> Machine:
-    """Aligner whose gap lengths are a mixture of ``gaps`` geometric laws; ``asymmetric`` gives insertions their own."""
-    ins, dele = ("ins", "del") if asymmetric else ("gap", "gap")
-    s, w, m, e = (f"{prefix}-{k}" for k in "SWME")
-    ks = range(1, gaps + 1)
-    states: dict = {s: [*[(f"{prefix}-I{k}", "", "", {"*": [f"{ins}Open", f"{ins}Mix{k}"]}) for k in ks], (w, "", "", {"not": f"{ins}Open"})]}
-    for k in ks:
-        states[f"{prefix}-J{k}"] = [(f"{prefix}-I{k}", "", "", f"{ins}Extend{k}"), (w, "", "", {"not": f"{ins}Extend{k}"})]
-    states[w] = [(m, "", "", {"not": f"{dele}Open"}), *[(f"{prefix}-D{k}", "", "", {"*": [f"{dele}Open", f"{dele}Mix{k}"]}) for k in ks]]
-    for k in ks:
-        states[f"{prefix}-X{k}"] = [(f"{prefix}-D{k}", "", "", f"{dele}Extend{k}"), (m, "", "", {"not": f"{dele}Extend{k}"})]
-    for k in ks:
-        states[f"{prefix}-I{k}"] = [(f"{prefix}-J{k}", "", b, f"eqm{b}") for b in alphabet]
-    states[m] = [(e, "", ""), *[(s, a, b, f"sub{a}{b}") for a in alphabet for b in alphabet]]
-    for k in ks:
-        states[f"{prefix}-D{k}"] = [(e, "", ""), *[(f"{prefix}-X{k}", a, "") for a in alphabet]]
-    states[e] = []
-    kinds = sorted({ins, dele})
-    cons = {"prob": [p for g in kinds for p in (f"{g}Open", *[f"{g}Extend{k}" for k in ks])], "norm": [[f"eqm{b}" for b in alphabet], *[[f"sub{a}{b}" for b in alphabet] for a in alphabet], *[[f"{g}Mix{k}" for k in ks] for g in kinds]]}
-    return by_id(states, cons)
+    """Aligner whose gap lengths are a mixture of ``gaps`` geometric laws; ``asymmetric`` gives insertions their own.
+
+    A state is a role and, in a gap, its component: ``write`` may insert, ``read``
+    waits for an input letter, and each gap component has a state that extends
+    itself. Letters that are kept are read from ``read`` or from an omission
+    that ends, so omissions need no state of their own to leave by, and every
+    state that waits may end: outputs of any input add up to 1.
+    """
+    # fixed values: names of parameters in published parameter files
+    add, drop = ("ins", "del") if asymmetric else ("gap", "gap")
+    parts = [str(k + 1) for k in range(gaps)]
+    role = lambda *names: "-".join((prefix, *names))
+    write, read, end = role("write"), role("read"), role("end")
+
+    def runs(kind, name, letters):
+        """For each component its state, what opening costs, what extending costs, and the letter edges into it at a cost."""
+        for k in parts:
+            state, extend = role(name, k), f"{kind}Extend{k}"
+            yield state, {"*": [f"{kind}Open", f"{kind}Mix{k}"]}, extend, lambda cost, to=state: [(to, *io, W.mul(cost, w)) for io, w in letters]
+
+    def keep(cost):
+        return [(write, a, b, W.mul(cost, f"sub{a}{b}")) for a in alphabet for b in alphabet]
+
+    inserts = list(runs(add, "insert", [(("", b), f"eqm{b}") for b in alphabet]))
+    omits = list(runs(drop, "omit", [((a, ""), 1) for a in alphabet]))
+    states: dict = {write: [x for _, cost, _, into in inserts for x in into(cost)] + [(read, "", "", {"not": f"{add}Open"})]}
+    states[read] = [x for _, cost, _, into in omits for x in into(cost)] + keep({"not": f"{drop}Open"}) + [(end, "", "")]
+    states |= {state: [*into(extend), (read, "", "", {"not": extend})] for state, _, extend, into in inserts}
+    states |= {state: [*into(extend), *keep({"not": extend}), (end, "", "")] for state, _, extend, into in omits}
+    states[end] = []
+    kinds = sorted({add, drop})
+    return by_id(states, {"prob": [f"{g}{p}" for g in kinds for p in ("Open", *(f"Extend{k}" for k in parts))], "norm": [[f"eqm{b}" for b in alphabet], *([f"sub{a}{b}" for b in alphabet] for a in alphabet), *([f"{g}Mix{k}" for k in parts] for g in kinds)]})
 
 
 def neighbour_aligner(alphabet=DNA, prefix: str = "nbr") -> Machine:
