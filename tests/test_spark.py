@@ -127,3 +127,16 @@ def test_stream(spark, tmp_path):
     q.stop()
     last = {r.k: (r.n, r.loglike) for r in out}
     assert last[1] == (3, pytest.approx(math.log(0.5 * 0.25 * 0.5))) and last[2] == (1, pytest.approx(math.log(0.5)))
+
+
+def test_letters_decode_like_paths(spark):
+    from weft.operators import decode as D
+    from weft.operators import kernels as K
+
+    m = Machine([[Edge(0, "a", "x", 0.3), Edge(0, "b", "x", 0.6), Edge(0, "b", "y", 0.4), Edge(0, "a", "z", 0.4), Edge(0, "c", "z", 0.4), Edge(0, "", "w", 0.1)]])
+    df = spark.createDataFrame([(list(s),) for s in ("xyz", "", "wzw", "xq")] + [(None,)], "y array<string>")
+    c = K.compile_machine(m)
+    for r in D.decode(df, m, "y", "viterbi").collect():
+        t = c.tokens(r.y or [], "out")
+        want = (None, float("-inf")) if t is None else D.viterbi(c, t)
+        assert r.decoded == want[0] and r.decoded_ll == pytest.approx(want[1])

@@ -7,6 +7,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weft.operators import algebra as A
 from weft.operators import graph as G
@@ -190,9 +191,32 @@ def mcmc(c: K.Compiled, y, rng, steps: int = 10, cool: bool = False, start=None)
 METHODS = {"beam": beam, "prefix": prefix_search, "viterbi": viterbi, "random": random_prefix, "mcmc": mcmc, "cool": lambda c, y, rng, **o: mcmc(c, y, rng, cool=True, **o)}
 
 
+def _spells(m: Machine) -> bool:
+    """Whether the machine has one state and every edge writes one letter, so that letters can be decoded one by one."""
+    return len(m) == 1 and all(e.out for e in m.edges[0])
+
+
+def _letter_by_letter(df: DataFrame, m: Machine, seq: str, values: dict | None) -> DataFrame:
+    """Viterbi decoding under a one-state machine as an expression: each output letter's best input, and its log weight."""
+    c = K.compile_machine(m, values)
+    best: dict = {}
+    for i, o, w in sorted(zip(c.inp.tolist(), c.out.tolist(), c.lw.tolist(), strict=True), key=lambda e: (-e[2], e[0] == 0, e[0])):
+        if w > -np.inf:
+            best.setdefault(c.outputs[o - 1], (c.inputs[i - 1] if i else None, w))
+    pick = lambda kind, at: F.create_map(*[x for k, v in best.items() for x in (F.lit(k), F.lit(v[at]).cast(kind))]) if best else F.create_map().cast(f"map<string,{kind}>")
+    y = F.coalesce(F.col(seq), F.array().cast("array<string>"))
+    letters, weights = pick("string", 0), pick("double", 1)
+    known = F.forall(y, lambda s: F.coalesce(F.map_contains_key(weights, s), F.lit(False)))
+    decoded = F.array_compact(F.transform(y, lambda s: F.element_at(letters, s)))
+    ll = F.aggregate(F.transform(y, lambda s: F.element_at(weights, s)), F.lit(0.0), lambda a, w: a + w)
+    return df.withColumns({"decoded": F.when(known, decoded), "decoded_ll": F.when(known, ll).otherwise(F.lit(float("-inf")))})
+
+
 def decode(df: DataFrame, m: Machine, seq: str, method: str = "beam", values: dict | None = None, encode: bool = False, seed: int = 1, **options) -> DataFrame:
     """Add ``decoded`` (array of symbols) and ``decoded_ll`` for an output column (``encode``: the output of an input)."""
     m = A.transpose(m) if encode else m
+    if method == "viterbi" and _spells(m):
+        return _letter_by_letter(df, m, seq, values)
     c = K.compile_machine(G.sort(m, "sum") if not m.is_advancing() else m, values)
     bound = df.sparkSession.sparkContext.broadcast(c)
 

@@ -19,8 +19,8 @@ from weft.operators import kernels as K
 from weft.operators.kernels import MAX, SUM, Semiring
 from weft.plans.machine import Machine
 
-#: Cells (pairs x diagonal) of a block.
-BLOCK = 1 << 15
+#: Cells (pairs x diagonal) of a block, and numbers held where all cells are kept.
+BLOCK, KEPT = 1 << 15, 1 << 21
 
 
 def _schema(df: DataFrame, extra: str) -> str:
@@ -47,16 +47,16 @@ def _sides(b, c: K.Compiled, inp, out):
     return side(inp, "in"), side(out, "out")
 
 
-def _blocks(x, y):
+def _blocks(x, y, states: int = 0):
+    """Rows in blocks of similar lengths; with ``states`` small enough to keep all their cells."""
     ok = [k for k in range(len(x)) if x[k] is not None and y[k] is not None]
     ok.sort(key=lambda k: (len(x[k]), len(y[k])))
     at = 0
     while at < len(ok):
         width = max(1, len(x[ok[at]]) + 1)
-        take = max(1, BLOCK // width)
-        chunk = ok[at : at + take]
-        while len(chunk) > 1 and len(x[chunk[-1]]) > 2 * width + 16:
-            chunk.pop()
+        chunk = ok[at : at + max(1, BLOCK // width)]
+        while len(chunk) > 1 and (len(x[chunk[-1]]) > 2 * width + 16 or states and len(chunk) * states * (len(x[chunk[-1]]) + 1) * (max(len(y[k]) for k in (chunk[0], chunk[-1])) + 1) > KEPT):
+            del chunk[max(1, len(chunk) * 3 // 4) :]
         yield chunk
         at += len(chunk)
 
@@ -97,59 +97,75 @@ def accepts(df: DataFrame, m: Machine, inp: str, values: dict | None = None, nam
     return score(df, flat, inp, None, values, MAX, "__s").withColumn(name, F.col("__s") > float("-inf")).drop("__s")
 
 
-def _rowwise(df, m, values, schema, keys, each, inp, out):
+def _cellwise(df, m, values, keys, name, fill, inp, out):
+    """A row a finite cell: keys, in_pos, out_pos, state_idx and the cell; ``fill`` gives a block's cells (pairs, I+1, O+1, S), nan for none."""
     bound = df.sparkSession.sparkContext.broadcast(K.compile_machine(m, values))
+    kinds = ", ".join(f"`{q}` {df.schema[q].dataType.simpleString()}" for q in keys)
+    names = [*keys, "in_pos", "out_pos", "state_idx", name]
 
     def run(batches):
         c = bound.value
         for b in batches:
             x, y = _sides(b, c, inp, out)
-            rows, cols = [], []
-            for k in range(b.num_rows):
-                for r in each(c, x[k], y[k]) if x[k] is not None and y[k] is not None else ():
-                    rows.append(k)
-                    cols.append(r)
-            picked = [b.column(q).take(pa.array(rows, pa.int64())) for q in keys]
-            made = list(zip(*cols, strict=True)) if cols else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([*picked, *[pa.array(v, t) for v, (_, t, _) in zip(made, schema, strict=True)]], [*keys, *[n for n, _, _ in schema]])
+            for chunk in _blocks(x, y, c.states):
+                v = fill(c, [x[k] for k in chunk], [y[k] for k in chunk])
+                k, *at = np.nonzero(~np.isnan(v))
+                picked = [b.column(q).take(pa.array(np.array(chunk)[k])) for q in keys]
+                yield pa.RecordBatch.from_arrays([*picked, *[pa.array(a.astype(np.int32)) for a in at], pa.array(v[(k, *at)])], names)
 
-    kinds = ", ".join(f"`{q}` {df.schema[q].dataType.simpleString()}" for q in keys)
-    return df.mapInArrow(run, f"{kinds}, " + ", ".join(f"{n} {s}" for n, _, s in schema))
+    return df.mapInArrow(run, f"{kinds}, in_pos int, out_pos int, state_idx int, {name} double")
 
 
 def posteriors(df: DataFrame, m: Machine, keys: list[str], inp: str | None = None, out: str | None = None, values: dict | None = None) -> DataFrame:
     """State posteriors of every cell: keys, in_pos, out_pos, state_idx, p."""
 
-    def each(c, x, y):
-        _, p = K.state_posteriors(c, x, y)
-        for i, o, s in zip(*np.nonzero(p > 0), strict=True):
-            yield int(i), int(o), int(s), float(p[i, o, s])
+    def fill(c, x, y):
+        p = K.batch_posteriors(c, x, y)[1]
+        return np.where(p > 0, p, np.nan)
 
-    return _rowwise(df, m, values, [("in_pos", pa.int32(), "int"), ("out_pos", pa.int32(), "int"), ("state_idx", pa.int32(), "int"), ("p", pa.float64(), "double")], keys, each, inp, out)
+    return _cellwise(df, m, values, keys, "p", fill, inp, out)
 
 
 def cells(df: DataFrame, m: Machine, keys: list[str], inp=None, out=None, values=None, ring: Semiring = SUM, backward: bool = False) -> DataFrame:
     """Every Forward (or Backward) cell: keys, in_pos, out_pos, state_idx, loglike."""
 
-    def each(c, x, y):
-        _, f = K.Grid(c, ring, backward).fill([x], [y], True)
-        for i, o, s in zip(*np.nonzero(f[0] > -np.inf), strict=True):
-            yield int(i), int(o), int(s), float(f[0][i, o, s])
+    def fill(c, x, y):
+        f = K.Grid(c, ring, backward).fill(x, y, True)[1]
+        return np.where(f > -np.inf, f, np.nan)
 
-    return _rowwise(df, m, values, [("in_pos", pa.int32(), "int"), ("out_pos", pa.int32(), "int"), ("state_idx", pa.int32(), "int"), ("loglike", pa.float64(), "double")], keys, each, inp, out)
+    return _cellwise(df, m, values, keys, "loglike", fill, inp, out)
 
 
 def paths(df: DataFrame, m: Machine, keys: list[str], inp=None, out=None, values=None, seed: int | None = None) -> DataFrame:
-    """The best path of each row (with ``seed``: one drawn by posterior): keys, step, src, ord, dst, in_sym, out_sym, loglike."""
+    """The best path of each row (with ``seed``: one drawn by posterior): keys, step, src, ord, dst, in_sym, out_sym, loglike.
 
-    def each(c, x, y):
-        rng = None if seed is None else np.random.default_rng([seed, *x.tolist(), 0, *y.tolist()])
-        ll, path = K.trace(c, x, y, rng)
-        for k, e in enumerate(path):
-            yield k, int(c.src[e]), int(c.ord[e]), int(c.dst[e]), ("", *c.inputs)[c.inp[e]], ("", *c.outputs)[c.out[e]], ll
+    Cells are filled a block at a time; only the walk back is row by row.
+    """
+    bound = df.sparkSession.sparkContext.broadcast(K.compile_machine(m, values))
+    kinds = ", ".join(f"`{q}` {df.schema[q].dataType.simpleString()}" for q in keys)
+    names = [*keys, "step", "src", "ord", "dst", "in_sym", "out_sym", "loglike"]
 
-    kinds = [("step", pa.int32(), "int"), ("src", pa.int32(), "int"), ("ord", pa.int32(), "int"), ("dst", pa.int32(), "int"), ("in_sym", pa.string(), "string"), ("out_sym", pa.string(), "string"), ("loglike", pa.float64(), "double")]
-    return _rowwise(df, m, values, kinds, keys, each, inp, out)
+    def run(batches):
+        c = bound.value
+        grid = K.Grid(c, MAX if seed is None else SUM)
+        ins, outs = np.array(["", *c.inputs], object), np.array(["", *c.outputs], object)
+        for b in batches:
+            x, y = _sides(b, c, inp, out)
+            for chunk in _blocks(x, y, c.states):
+                ll, F = grid.fill([x[k] for k in chunk], [y[k] for k in chunk], True)
+                rows, steps, edges, lls = [], [], [], []
+                for k, f, z in zip(chunk, F, ll, strict=True):
+                    rng = None if seed is None else np.random.default_rng([seed, *x[k].tolist(), 0, *y[k].tolist()])
+                    path = K.trace(c, x[k], y[k], rng, F=f)[1]
+                    rows += [k] * len(path)
+                    steps += range(len(path))
+                    edges += path
+                    lls += [float(z)] * len(path)
+                e = np.array(edges, np.int64)
+                made = [pa.array(steps, pa.int32()), *[pa.array(v[e].astype(np.int32)) for v in (c.src, c.ord, c.dst)], pa.array(ins[c.inp[e]], pa.string()), pa.array(outs[c.out[e]], pa.string()), pa.array(lls, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[b.column(q).take(pa.array(rows, pa.int64())) for q in keys], *made], names)
+
+    return df.mapInArrow(run, f"{kinds}, step int, src int, ord int, dst int, in_sym string, out_sym string, loglike double")
 
 
 def edge_counts(df: DataFrame, m: Machine, inp=None, out=None, values=None) -> DataFrame:
@@ -161,14 +177,11 @@ def edge_counts(df: DataFrame, m: Machine, inp=None, out=None, values=None) -> D
         total, ll, n = np.zeros(len(c.lw)), 0.0, 0
         for b in batches:
             x, y = _sides(b, c, inp, out)
-            for p, q in zip(x, y, strict=True):
-                if p is None or q is None:
-                    continue
-                z, k = K.counts(c, p, q)
-                if z > -np.inf:
-                    total += k
-                    ll += z
-                    n += 1
+            for chunk in _blocks(x, y, c.states):
+                z, k = K.batch_counts(c, [x[i] for i in chunk], [y[i] for i in chunk])
+                total += k
+                ll += z[z > -np.inf].sum()
+                n += (z > -np.inf).sum()
         yield pa.RecordBatch.from_arrays(
             [pa.array([*c.src, -1, -2], pa.int32()), pa.array([*c.ord, 0, 0], pa.int32()), pa.array([*total, ll, float(n)])], ["src", "ord", "cnt"]
         )

@@ -127,7 +127,7 @@ class Grid:
         return table
 
     def fill(self, xs: list, ys: list, keep: bool = False, allowed: list | None = None):
-        """Scores of the pairs; with ``keep`` also each pair's cells (Li+1, Lo+1, S).
+        """Scores of the pairs; with ``keep`` also all cells (pairs, I+1, O+1, S), -Infinity beyond a pair's own lengths.
 
         A pair's side is tokens (L,) or a profile (L, K). ``allowed``: boolean
         (Li+1, Lo+1) grids that confine the cells.
@@ -138,8 +138,8 @@ class Grid:
             allowed = None if allowed is None else [a[::-1, ::-1] for a in allowed]
         li, lo = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
         score = np.full(n, -INF)
-        cells = [np.full((a + 1, b + 1, S), -INF) for a, b in zip(li, lo, strict=True)] if keep else None
-        I = int(li.max(initial=0))
+        I, O = int(li.max(initial=0)), int(lo.max(initial=0))
+        cells = np.full((n, I + 1, O + 1, S), -INF) if keep else None
         soft_x, soft_y = xs and xs[0].ndim == 2, ys and ys[0].ndim == 2
 
         def grid(side, L, soft):
@@ -149,7 +149,7 @@ class Grid:
                 g[k, 1 : len(s) + 1] = s
             return g
 
-        gx, gy = grid(xs, I, soft_x), grid(ys, int(lo.max(initial=0)), soft_y)
+        gx, gy = grid(xs, I, soft_x), grid(ys, O, soft_y)
         last, last2 = np.full((n, I + 1, S), -INF), None
         for d in range(int((li + lo).max(initial=0)) + 1):
             now = np.full((n, I + 1, S), -INF)
@@ -172,13 +172,14 @@ class Grid:
                 if len(k):
                     now[k, i] = self.ring.times(now[k, i], self.silent)
             if keep:
-                for a, b, c in zip(k, i, o, strict=True):
-                    cells[a][b, c] = now[a, b]
+                cells[k, i, o] = now[k, i]
             end = np.flatnonzero(li + lo == d)
             score[end] = now[end, li[end], S - 1]
             last2, last = last, now
-        if keep and self.reverse:
-            cells = [c[::-1, ::-1, ::-1] for c in cells]
+        if keep and self.reverse:  # each pair's grid is turned round within its own lengths
+            i, o = li[:, None] - np.arange(I + 1), lo[:, None] - np.arange(O + 1)
+            inside = (i >= 0)[:, :, None] & (o >= 0)[:, None, :]
+            cells = np.where(inside[..., None], cells[np.arange(n)[:, None, None], np.maximum(i, 0)[:, :, None], np.maximum(o, 0)[:, None, :], ::-1], -INF)
         return (score, cells) if keep else score
 
 
@@ -195,69 +196,95 @@ def _mix(ring, table, p, batched):
 
 def counts(c: Compiled, x, y, allowed=None) -> tuple[float, np.ndarray]:
     """Log likelihood and expected uses of each edge."""
-    f, b = Grid(c, SUM), Grid(c, SUM, True)
-    ll, F = f.fill([x], [y], True, allowed and [allowed])
-    z = float(ll[0])
-    out = np.zeros(len(c.lw))
-    if z == -INF:
+    z, n = batch_counts(c, [x], [y], allowed and [allowed])
+    return float(z[0]), n
+
+
+def batch_counts(c: Compiled, xs: list, ys: list, allowed=None) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihoods of some pairs and the expected uses of each edge in all of them; impossible pairs add nothing."""
+    z, F = Grid(c, SUM).fill(xs, ys, True, allowed)
+    _, B = Grid(c, SUM, True).fill(xs, ys, True, allowed)
+    out, ok = np.zeros(len(c.lw)), z > -INF
+    if not ok.any():
         return z, out
-    _, B = b.fill([x], [y], True, allowed and [allowed])
-    F, B = F[0], B[0]
+    F, B, z_ = F[ok], B[ok], z[ok]
+    I, O = F.shape[1], F.shape[2]
+
+    def weights(side, L, tokens):
+        """(pairs, L, symbols + 1): how far each place holds each symbol."""
+        w = np.zeros((len(F), L, tokens + 1))
+        for k, s in enumerate(side[p] for p in np.flatnonzero(ok)):
+            if s.ndim == 2:
+                w[k, : len(s), 1:] = s
+            else:
+                w[k, np.arange(len(s)), s] = 1
+        return w
+
+    wx, wy = weights(xs, I - 1, len(c.inputs)), weights(ys, O - 1, len(c.outputs))
     for e in range(len(c.lw)):
         i, o = int(c.inp[e]), int(c.out[e])
-        a = F[: len(F) - (i > 0), : F.shape[1] - (o > 0), c.src[e]]
-        g = B[(i > 0) :, (o > 0) :, c.dst[e]]
-        with np.errstate(invalid="ignore"):
-            p = np.exp(a + c.lw[e] + g - z)
+        a = F[:, : I - (i > 0), : O - (o > 0), c.src[e]]
+        p = np.exp(a + c.lw[e] + B[:, (i > 0) :, (o > 0) :, c.dst[e]] - z_[:, None, None])
         if i:
-            p = p * (x[:, i - 1][:, None] if x.ndim == 2 else (x == i)[:, None])
+            p = p * wx[:, :, i][:, :, None]
         if o:
-            p = p * (y[:, o - 1][None, :] if y.ndim == 2 else (y == o)[None, :])
-        out[e] = np.nansum(p)
+            p = p * wy[:, :, o][:, None, :]
+        out[e] = p.sum()
     return z, out
 
 
 def state_posteriors(c: Compiled, x, y) -> tuple[float, np.ndarray]:
     """exp(F + B - ll) of every cell and state."""
-    ll, F = Grid(c, SUM).fill([x], [y], True)
-    _, B = Grid(c, SUM, True).fill([x], [y], True)
-    return float(ll[0]), np.exp(F[0] + B[0] - ll[0]) if ll[0] > -INF else np.zeros_like(F[0])
-
-
-def trace(c: Compiled, x, y, rng=None, start=None) -> tuple[float, list[int]]:
-    """Edges of the best path (or, with ``rng``, of a path drawn by posterior) that ends at the end, or at cell ``start``."""
-    ring = MAX if rng is None else SUM
-    _, F = Grid(c, ring).fill([x], [y], True)
-    F = F[0]
+    z, p = batch_posteriors(c, [x], [y])
+    return float(z[0]), p[0]
+
+
+def batch_posteriors(c: Compiled, xs: list, ys: list) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a batch: (pairs,) and (pairs, I+1, O+1, S); 0 for impossible pairs."""
+    z, F = Grid(c, SUM).fill(xs, ys, True)
+    _, B = Grid(c, SUM, True).fill(xs, ys, True)
+    return z, np.exp(F + B - np.where(z > -INF, z, INF)[:, None, None, None])
+
+
+def _arrivals(c: Compiled) -> dict:
+    """Edges by (destination, input, output), with what ties are broken by."""
+    got = getattr(c, "_into", None)
+    if got is None:
+        kind = np.where((c.inp > 0) & (c.out > 0), 0, np.where(c.inp > 0, 1, np.where(c.out > 0, 2, 3)))
+        got = {}
+        for e in range(len(c.lw)):
+            if c.lw[e] > -INF:
+                i, o, src = int(c.inp[e]), int(c.out[e]), int(c.src[e])
+                got.setdefault((int(c.dst[e]), i, o), []).append((e, i > 0, o > 0, src, float(c.lw[e]), (int(kind[e]), i, o, src)))
+        c._into = got
+    return got
+
+
+def trace(c: Compiled, x, y, rng=None, start=None, F=None) -> tuple[float, list[int]]:
+    """Edges of the best path (or, with ``rng``, of a path drawn by posterior) that ends at the end, or at cell ``start``; ``F``: cells already filled."""
+    if F is None:
+        F = Grid(c, MAX if rng is None else SUM).fill([x], [y], True)[1][0]
     i, o, s = start if start is not None else (len(x), len(y), c.states - 1)
     total = F[i, o, s]
     path: list[int] = []
     if total == -INF:
         return total, path
-    kind = np.where((c.inp > 0) & (c.out > 0), 0, np.where(c.inp > 0, 1, np.where(c.out > 0, 2, 3)))
-    into = [np.flatnonzero(c.dst == k) for k in range(c.states)]
-    while not (i == 0 and o == 0 and s == 0 and (rng is None or _stop(F, c, rng, into))):
-        options, w = [], []
-        for e in into[s]:
-            di, do = int(c.inp[e] > 0), int(c.out[e] > 0)
-            if i < di or o < do or (di and x[i - 1] != c.inp[e]) or (do and y[o - 1] != c.out[e]):
-                continue
-            v = F[i - di, o - do, c.src[e]] + c.lw[e]
-            if v > -INF:
-                options.append(e)
-                w.append(v)
+    into, x, y = _arrivals(c), [0, *x.tolist()], [0, *y.tolist()]
+    back = [np.flatnonzero(c.dst == k) for k in range(c.states)] if rng is not None else None
+    while not (i == 0 and o == 0 and s == 0 and (rng is None or _stop(F, c, rng, back))):
+        keys = {(s, x[i], y[o]): 0, (s, x[i], 0): 0, (s, 0, y[o]): 0, (s, 0, 0): 0}
+        options = [(F[i - di, o - do, src] + w, e, tie, di, do, src) for k in keys for e, di, do, src, w, tie in into.get(k, ()) if F[i - di, o - do, src] > -INF]
         if not options:
             break
-        w = np.array(w)
         if rng is None:
-            near = [k for k in range(len(w)) if w[k] >= w.max() - 1e-9]
-            k = min(near, key=lambda k: (kind[options[k]], c.inp[options[k]], c.out[options[k]], c.src[options[k]]))
+            top = max(v[0] for v in options) - 1e-9
+            pick = min((v for v in options if v[0] >= top), key=lambda v: v[2])
         else:
+            w = np.array([v[0] for v in options])
             p = np.exp(w - w.max())
-            k = int(rng.choice(len(p), p=p / p.sum()))
-        e = int(options[k])
-        path.append(e)
-        i, o, s = i - int(c.inp[e] > 0), o - int(c.out[e] > 0), int(c.src[e])
+            pick = options[int(rng.choice(len(p), p=p / p.sum()))]
+        path.append(pick[1])
+        i, o, s = i - pick[3], o - pick[4], pick[5]
         if len(path) > 1_000_000:
             raise RuntimeError("path too long")
     return float(total), path[::-1]
