@@ -9,6 +9,7 @@ from machines import SLIP
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from weft import algebra_queries  # noqa: F401  registers its queries
 from weft import queries as Q
 from weft.operators import infer as I
 from weft.operators import position as P
@@ -140,3 +141,18 @@ def test_letters_decode_like_paths(spark):
         t = c.tokens(r.y or [], "out")
         want = (None, float("-inf")) if t is None else D.viterbi(c, t)
         assert r.decoded == want[0] and r.decoded_ll == pytest.approx(want[1])
+
+
+def test_fasta_headers_may_hold_the_sign(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one a>b note\nAC\nGT\n\n>two\nGG\n")
+    (tmp_path / "b.fa").write_text("\n>three\nTT")
+    got = S.read_fasta(spark, str(tmp_path)).collect()
+    assert sorted((r.name, r.comment, r.seq) for r in got) == [("one", "a>b note", "ACGT"), ("three", "", "TT"), ("two", "", "GG")]
+
+
+def test_pairs_of_several_files(spark, tmp_path):
+    one = {"input": {"name": "x", "sequence": ["a"]}, "output": {"name": "y", "sequence": ["b", "c"]}}
+    (tmp_path / "1.json").write_text(json.dumps(one))
+    (tmp_path / "2.json").write_text(json.dumps([one, one]))
+    got = S.read_pairs(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and got[0].output.sequence == ["b", "c"]

@@ -109,14 +109,22 @@ def intersect(a, b, nb: int):
 
 def reachable(t, start: DataFrame, most: int = 10_000) -> DataFrame:
     """States reachable from ``start`` (column state): a frontier of new states a round, kept until the end."""
-    steps = t.select("src", "dst").distinct()
+    steps = t.select("src", "dst").distinct().persist()
     seen = front = start.select("state").distinct()
+    held = [steps]
     for _ in range(most):
         ahead = steps.join(front.withColumnRenamed("state", "src"), "src", "left_semi").select(F.col("dst").alias("state")).distinct()
         front = ahead.join(seen, "state", "left_anti").persist()
+        held.append(front)
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if len(held) > 8:  # one table instead of a union that grows
+            old, seen = held, seen.persist()
+            seen.count()
+            for h in old[1:-1]:
+                h.unpersist()
+            held = [steps, seen, front]
     return seen
 
 
@@ -124,3 +132,26 @@ def signatures(t):
     """States with equal futures: one row a class with its smallest state and how many states share it."""
     s = t.groupBy("src").agg(F.concat_ws(";", F.sort_array(F.collect_list(F.concat_ws(",", F.col("dst").cast("string"), "in_sym", "out_sym", F.round("w", 9).cast("string"))))).alias("sig"))
     return s.groupBy("sig").agg(F.min("src").alias("state"), F.count("*").alias("states")).select("state", "states")
+
+
+def subgraph(t, flags: DataFrame):
+    """The edges that a table of (src, dst, in_sym, out_sym) names."""
+    return t.join(flags, ["src", "dst", "in_sym", "out_sym"], "left_semi").select(*COLS)
+
+
+def labels(t):
+    """Edge labels of a drawing: parallel edges share one arrow (src, dst, label)."""
+    io = F.transform(F.sort_array(F.collect_list(F.struct("in_sym", "out_sym"))), lambda x: F.concat(x["in_sym"], F.lit("/"), x["out_sym"]))
+    return t.groupBy("src", "dst").agg(F.array_join(io, ",").alias("label"))
+
+
+def predicates(t):
+    """Whether each state with edges waits for input, whether it goes on without, and its number of edges."""
+    quiet = F.col("in_sym") == ""
+    return t.groupBy(F.col("src").alias("state")).agg((F.count(F.when(quiet, 1)) == 0).alias("waits"), (F.count(F.when(~quiet, 1)) == 0).alias("continues"), F.count("*").alias("edges"))
+
+
+def shares(counts, by: list[str], of: list[str], count: str = "cnt", name: str = "p"):
+    """Counts added up by ``by`` and ``of`` as shares of their sum by ``by``: the closed-form M-step of normalised weights."""
+    c = counts.groupBy(*by, *of).agg(F.sum(count).alias(count))
+    return c.select(*by, *of, (F.col(count) / F.sum(count).over(Window.partitionBy(*by))).alias(name))

@@ -249,8 +249,7 @@ def _edge_counts(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {SQL_SEQ}, {SQL_TR}, {_forward('sum')}, {SQL_BACK}, {SQL_Z} SELECT src, dst, round(sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY src), 6) AS p FROM ({SQL_COUNT}) GROUP BY src, dst")
 def em_step(spark, sf_dir):
-    c = _edge_counts(spark, sf_dir).groupBy("src", "dst").agg(F.sum("cnt").alias("cnt"))
-    return c.select("src", "dst", F.round(F.col("cnt") / F.sum("cnt").over(Window.partitionBy("src")), 6).alias("p"))
+    return rounded(R.shares(_edge_counts(spark, sf_dir), ["src"], ["dst"]), "p")
 
 
 _PATH = ", arg_max(list_append(f.path, tr.dst::INTEGER), f.w * tr.w)"
@@ -411,9 +410,10 @@ def beam_decode_orders(spark, sf_dir):
  SELECT p_partkey, o::INT AS out_pos, greatest(o - 1, 0)::INT AS in_start, (least(o + 1, length(x)) + 1)::INT AS in_end FROM a WHERE length(x) = length(y)""")
 def envelope_rows(spark, sf_dir):
     """Envelopes one match wide around gapless alignments of neighbouring brands."""
-    p = part_pairs(spark, sf_dir, "p_brand").filter("length(a) = length(b)")
-    e = p.select("p_partkey", "a", F.explode(F.sequence(F.lit(0), F.length("b"))).alias("out_pos"))
-    return e.select("p_partkey", "out_pos", F.greatest(F.col("out_pos") - 1, F.lit(0)).alias("in_start"), (F.least(F.col("out_pos") + 1, F.length("a")) + 1).alias("in_end"))
+    p = part_pairs(spark, sf_dir, "p_brand").filter("length(a) = length(b)").select("p_partkey", S.chars("a").alias("x"), S.chars("b").alias("y"))
+    p = p.withColumn("columns", F.zip_with("x", "y", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    e = S.envelopes(p, "x", "y", "columns", 1).select("p_partkey", F.posexplode("envelope").alias("out_pos", "e"))
+    return e.select("p_partkey", "out_pos", F.col("e.lo").alias("in_start"), F.col("e.hi").alias("in_end"))
 
 
 # results that SQL can't express: goldens and laws are in the tests
@@ -484,22 +484,19 @@ def subgraph(spark, sf_dir):
     """Edges flagged as likely, kept by a semi-join."""
     t = bigrams(spark, sf_dir)
     flags = t.withColumn("top", F.max("w").over(Window.partitionBy("src"))).filter(F.col("w") >= F.lit(0.95) * F.col("top")).select("src", "dst", "in_sym", "out_sym")
-    return t.join(flags, ["src", "dst", "in_sym", "out_sym"], "left_semi").select(*R.COLS)
+    return R.subgraph(t, flags)
 
 
 @query(f"WITH {SQL_COMP} SELECT src, dst, string_agg(in_sym || '/' || out_sym, ',' ORDER BY in_sym, out_sym) AS label FROM cp GROUP BY src, dst")
 def dot_labels(spark, sf_dir):
     """Edge labels of a drawing: parallel edges share one arrow."""
-    t = R.compose(bigrams(spark, sf_dir), mark(spark), 2)
-    t = t.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct("in_sym", "out_sym"))).alias("io"))
-    return t.select("src", "dst", F.array_join(F.transform("io", lambda x: F.concat(x["in_sym"], F.lit("/"), x["out_sym"])), ",").alias("label"))
+    return R.labels(R.compose(bigrams(spark, sf_dir), mark(spark), 2))
 
 
 @query(f"WITH {SQL_BG} SELECT s.src AS state, count(*) FILTER (in_sym = '') = 0 AS waits, count(*) FILTER (in_sym <> '') = 0 AS continues, count(*) AS edges FROM (SELECT src, in_sym FROM bg UNION ALL SELECT src, '' FROM bg WHERE src < 2) s GROUP BY s.src")
 def state_predicates(spark, sf_dir):
     t = bigrams(spark, sf_dir).select("src", "in_sym")
-    t = t.unionByName(t.filter("src < 2").withColumn("in_sym", F.lit("")))
-    return t.groupBy(F.col("src").alias("state")).agg((F.sum((F.col("in_sym") == "").cast("int")) == 0).alias("waits"), (F.sum((F.col("in_sym") != "").cast("int")) == 0).alias("continues"), F.count("*").alias("edges"))
+    return R.predicates(t.unionByName(t.filter("src < 2").withColumn("in_sym", F.lit(""))))
 
 
 CHANGES = {f"c{s}{d}": CHANGE[s][d] for s in (0, 1) for d in (0, 1)}
@@ -542,10 +539,12 @@ def evaluated_weights(spark, sf_dir):
     return s.select("user_id", F.round(I.forward_column(m.evaluated(), "seq"), 6).alias("loglike"))
 
 
-@query("SELECT * FROM (VALUES ('AC', 1::BIGINT), ('AG', 1::BIGINT), ('C', 1::BIGINT), ('G', 1::BIGINT)) v(word, derivations)")
+@query(f"SELECT word, CASE WHEN word LIKE '%C' THEN 2 ELSE 1 END::BIGINT AS derivations FROM (SELECT DISTINCT substr({SQL_DNA}, 1, n) AS word FROM orders, (VALUES (1), (2)) v(n)) WHERE regexp_full_match(word, 'A?[CG]')")
 def derivations(spark, sf_dir):
-    """Weights as numbers of derivations: (A)?(C|G) over all words of up to two letters."""
-    m = A.concat(A.optional(A.recognize("A")), A.union(A.recognize("C"), A.recognize("G")))
-    words = spark.createDataFrame([(a + b,) for a in ["", *"ACG"] for b in "ACG"], "word string").distinct()
+    """Weights as numbers of derivations: (A)?(C|G|C) over the first one and two bases of order keys."""
+    m = A.concat(A.optional(A.recognize("A")), A.union(A.recognize("C"), A.union(A.recognize("G"), A.recognize("C"))))
+    bases = dna(F.col("o_orderkey").cast("string"))
+    o = table(spark, sf_dir, "orders")
+    words = o.select(F.explode(F.array(F.substring(bases, 1, 1), F.substring(bases, 1, 2))).alias("word")).distinct()
     s = I.score(words.withColumn("x", S.chars("word")), G.eliminate_silent(m), "x").filter("loglike > double('-infinity')")
     return s.select("word", F.round(F.exp("loglike")).cast("long").alias("derivations"))

@@ -6,8 +6,10 @@ import json
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weft.functions import weights as W
 from weft.operators import algebra as A
@@ -26,7 +28,8 @@ def chars(c):
 # FASTA and FASTQ: records are cut by the reader, fields by expressions
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, comment, seq, qual of each record; compressed files are fine; an empty file gives no rows."""
-    r = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
+    # records are cut before a ">" that starts a line; the first one of a file keeps its own
+    r = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^\\s*>", "").alias("value")).filter(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 2)"), r"\s", "")
     return r.select(_name(head).alias("name"), _comment(head).alias("comment"), body.alias("seq"), F.lit(None).cast("string").alias("qual"))
@@ -86,9 +89,15 @@ def pair_from_json(x: dict) -> dict:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).first()
-    x = json.loads(text[0])
-    return spark.createDataFrame([pair_from_json(p) for p in (x if isinstance(x, list) else [x])], PAIRS)
+    """Sequence pairs of JSON files: one pair or a list of them in each; files are read where they lie."""
+
+    def run(batches):
+        for b in batches:
+            rows = [pair_from_json(p) for text in b.column("value").to_pylist() for x in [json.loads(text)] for p in (x if isinstance(x, list) else [x])]
+            yield from pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)).to_batches()
+
+    schema = spark.createDataFrame([], PAIRS).schema
+    return spark.read.text(path, wholetext=True).mapInArrow(run, schema)
 
 
 def cross_pairs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -122,6 +131,21 @@ def envelope(alignment, width: int | None = None, lengths: tuple[int, int] | Non
     return out
 
 
+def envelopes(df: DataFrame, inp: str, out: str, alignment: str | None = None, width: int | None = None) -> DataFrame:
+    """Add ``envelope``, array<struct<lo,hi>> by output position, from array<string> columns and an array<struct<a,b>> alignment (empty strings are gaps)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def run(batches):
+        for b in batches:
+            cols = b.column(alignment).to_pylist() if alignment else [None] * b.num_rows
+            sizes = [(len(x or ()), len(y or ())) for x, y in zip(b.column(inp).to_pylist(), b.column(out).to_pylist(), strict=True)]
+            made = [envelope(None if a is None else [(c["a"], c["b"]) for c in a], width, n) for a, n in zip(cols, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"lo": lo, "hi": hi} for lo, hi in e] for e in made], kind)], [*b.schema.names, "envelope"])
+
+    return df.mapInArrow(run, f"{kinds}, envelope array<struct<lo:int,hi:int>>")
+
+
 # position profiles
 def read_profile(spark: SparkSession, path: str) -> tuple[list[str], list[list[float]]]:
     """Header symbols and rows; a data row's further column is the gap."""
