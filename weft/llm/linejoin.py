@@ -210,14 +210,17 @@ class _Lists:
         by, held, many, more = at[np.argsort(n[at], kind="stable")], [], 0, [np.zeros(0, np.int64)]
         upto = np.searchsorted(n[by], n[by] * DEN // NUM, "right")
         left, need = self.left[by], self.need[by]
+        # the shorter of two similar sets meets the other within a shorter prefix, that of sets of its own size
+        rows = np.flatnonzero(left >= 2 * need)
         k, step = len(at), max(64, (1 << 19) // max(len(at), 1))
-        for a in range(0, k, step):
-            z = min(k, a + step)
-            last = int(upto[z - 1])  # longer sets can't be similar to any of the block
-            fits = np.minimum(left[a:z, None], left[None, a:last]) >= need[a:z, None] + need[None, a:last]
-            fits[:, : z - a] = np.triu(fits[:, : z - a], 1)
+        for a in range(0, len(rows), step):
+            x = rows[a : a + step]
+            first, last = int(x[0]), int(upto[x[-1]])  # longer sets can't be similar to any of the rows
+            fits = np.minimum(left[x, None], left[None, first:last]) >= need[x, None] + need[None, first:last]
+            fits &= np.arange(first, last) > x[:, None]
             i, j = np.nonzero(fits)
-            held.append(self.alike(by[a + i], by[a + j]))
+            i, j = x[i], first + j
+            held.append(self.alike(by[i], by[j]))
             many += len(held[-1][0])
             if many > 8 * k:
                 i, j, late = _likeliest(self.sig, *(np.concatenate(c) for c in zip(*held, strict=True)), keep)
