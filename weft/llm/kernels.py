@@ -78,7 +78,9 @@ class Words:
             return np.zeros(0, U)
         total = np.empty(n + 1, U)
         total[0] = 0
-        np.multiply(self.data.astype(U) + U(1), _pow(R, n)[:n], out=total[1:])
+        total[1:] = self.data
+        total[1:] += U(1)
+        total[1:] *= _pow(R, n)[:n]
         np.cumsum(total, out=total)
         h = (total[self.end] - total[self.start]) * _pow(RINV, n)[self.start]
         return mix(h ^ ((self.end - self.start).astype(U) << U(56)))
@@ -118,12 +120,23 @@ def distinct(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
         for a, b in zip(np.r_[0, cut], np.r_[cut, n], strict=True):
             v[a:b].sort()
     else:
-        # one sort of (group, leading bits of the value); values that differ are never merged
-        bits = U(max(1, len(cut)).bit_length())
+        # one sort of (group, leading bits of the value, place); values that differ are never merged
         rank = np.zeros(n, U)
         rank[cut] = 1
         np.cumsum(rank, out=rank)
-        order = np.argsort((rank << (U(64) - bits)) | (values >> bits))
+        groups, places = max(1, len(cut)).bit_length(), n.bit_length()
+        lead = 64 - groups - places
+        order = None
+        if lead >= 24:
+            key = (rank << U(64 - groups)) | (values >> U(64 - lead) << U(places)) | np.arange(n, dtype=U)
+            key.sort()
+            order = (key & U((1 << places) - 1)).astype(np.int64)
+            key >>= U(places)
+            v = values[order]
+            if ((key[1:] == key[:-1]) & (v[1:] != v[:-1])).any():  # values that differ in their last bits only
+                order = None
+        if order is None:
+            order = np.lexsort((values, rank))
         v, g = values[order], group[order]
     keep = np.ones(n, bool)
     keep[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])

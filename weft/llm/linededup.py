@@ -62,8 +62,8 @@ class Lines:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.doc, self.number, self.start, self.end = split_lines(data, offsets)
         w = Words(data, offsets, lower=True)
-        line = np.searchsorted(self.start, w.start, "right") - 1
-        self.word, self.line = distinct(w.hash, line)
+        first = np.append(np.searchsorted(w.start, self.start), len(w.start))
+        self.word, self.line = distinct(w.hash, np.repeat(np.arange(len(self.doc)), np.diff(first)))
         self.at = np.searchsorted(self.line, np.arange(len(self.doc) + 1))
 
 
