@@ -396,3 +396,23 @@ def test_command_line(tmp_path):
     assert cli.run(["--preset", "bintern", "--beam-decode", "--output-chars", "12022212"])[0]["input"]["sequence"] == list("1010101")
     with pytest.raises(ValueError):
         cli.run(["--no-such-thing"])
+
+
+def test_command_line_sequences_and_options(tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text if isinstance(text, str) else json.dumps(text))
+        return str(tmp_path / name)
+
+    f, p = put("slip.json", SLIP), put("p.json", KEEP)
+    fa, js = put("x.fa", ">one a>b\nab\nc\n>two\nca\n"), put("y.json", {"name": "out", "sequence": ["b", "c", "a"]})
+    got = cli.run([f, "-L", "-P", p, "-I", fa, "--output-json", js])
+    assert got == [["one", "out", pytest.approx(3 * math.log(0.2))], ["two", "out", -math.inf]]
+    assert len(cli.run([f, "-V", "-P", p, "--input-json", js, "-O", fa])) == 2
+    # an alignment confines the paths of an insertion and a deletion
+    m = put("free.json", {"state": [{"trans": [{"to": 0, "in": "a", "out": "a", "weight": 0.5}, {"to": 0, "in": "a", "weight": 0.1}, {"to": 0, "out": "a", "weight": 0.1}]}]})
+    d = put("data.json", [{"alignment": [["a", "a"], ["a", "a"]]}])
+    tight, loose, free = (cli.run([m, "-L", "-D", d, *o])[0][2] for o in (["-R", "0"], ["-R", "5"], []))
+    assert math.exp(tight) == pytest.approx(0.25) and tight < loose == pytest.approx(free)
+    assert cli.run(["--preset", "hamming31", "--prefix-decode", "--prefix-backtrack", "3", "--output-chars", "111000"])[0]["input"]["sequence"] == ["1", "0"]
+    two = put("two.json", {"state": [{"trans": [{"to": 0, "in": "a", "weight": 0.5}, {"to": 0, "in": "b", "weight": 0.5}]}]})
+    assert cli.run([two, "-G", "--dot-no-merge"]).count("->") == 2 and cli.run([two, "-G"]).count("->") == 1

@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import sys
 
+import numpy as np
+
 from weft.functions.presets import preset
 from weft.operators import algebra as A
 from weft.operators import decode as D
@@ -66,7 +68,19 @@ def _sources() -> dict:
 
 
 def fasta(text: str) -> list[tuple[str, str]]:
-    return [(r.split("\n", 1)[0].split()[0] if r.split("\n", 1)[0].split() else "", "".join(r.split("\n")[1:])) for r in text.split(">")[1:]]
+    """(name, sequence) of each record; records start with a sign at the start of a line."""
+    records = [r.split("\n") for r in f"\n{text}".split("\n>")[1:]]
+    return [((head.split() or [""])[0], "".join("".join(x.split()) for x in rest)) for head, *rest in records]
+
+
+def _named(given: dict, side: str) -> list[dict]:
+    """Sequences of one side from characters, FASTA files and JSON files."""
+    out = [{"name": x, "sequence": list(x)} for x in given.get(f"--{side}-chars", [])]
+    out += [{"name": n, "sequence": list(x)} for p in given.get(f"--{side}-fasta", []) for n, x in fasta(_read(p))]
+    for p in given.get(f"--{side}-json", []):
+        x = json.loads(_read(p))
+        out += [{"name": r.get("name", ""), "sequence": list(r["sequence"])} for r in (x if isinstance(x, list) else [x])]
+    return out
 
 
 def _single(path):
@@ -127,8 +141,8 @@ class Parser:
         return m
 
 
-FLAGS = {"--loglike": "-L", "--viterbi": "-V", "--align": "-A", "--counts": "-C", "--train": "-T", "--beam-decode": "-Z", "--prefix-decode": "", "--viterbi-decode": "", "--random-encode": "", "--cool-decode": "", "--mcmc-decode": "", "--beam-encode": "-Y", "--prefix-encode": "", "--viterbi-encode": "", "--graphviz": "-G", "--stats": "", "--evaluate": "", "--name-states": "", "--define-exprs": "", "--show-params": ""}
-WITH = {"--params": "-P", "--functions": "-F", "--constraints": "-N", "--input-chars": "", "--output-chars": "", "--data": "-D", "--save": "", "--seed": "", "--beam-width": "", "--decode-steps": ""}
+FLAGS = {"--loglike": "-L", "--viterbi": "-V", "--align": "-A", "--counts": "-C", "--train": "-T", "--beam-decode": "-Z", "--prefix-decode": "", "--viterbi-decode": "", "--random-encode": "", "--cool-decode": "", "--mcmc-decode": "", "--beam-encode": "-Y", "--prefix-encode": "", "--viterbi-encode": "", "--graphviz": "-G", "--stats": "", "--evaluate": "", "--name-states": "", "--define-exprs": "", "--show-params": "", "--dot-no-merge": "", "--dot-show-io": ""}
+WITH = {"--params": "-P", "--functions": "-F", "--constraints": "-N", "--input-chars": "", "--output-chars": "", "--data": "-D", "--save": "", "--seed": "", "--beam-width": "", "--decode-steps": "", "--input-fasta": "-I", "--output-fasta": "-O", "--input-json": "", "--output-json": "", "--wiggle-room": "-R", "--prefix-backtrack": ""}
 
 
 def run(args: list[str]) -> object:
@@ -157,18 +171,18 @@ def run(args: list[str]) -> object:
     if "--evaluate" in flags:
         m = m.evaluated(values)
     pairs = [S.pair_from_json(x) for p in given.get("--data", []) for x in json.loads(_read(p))]
-    ins, outs = given.get("--input-chars", []), given.get("--output-chars", [])
+    ins, outs, none = _named(given, "input"), _named(given, "output"), {"name": "", "sequence": []}
     if ins or outs:
-        pairs += [{"input": {"name": a, "sequence": list(a)}, "output": {"name": b, "sequence": list(b)}} for a in ins or [""] for b in outs or [""]]
+        pairs += [{"input": a, "output": b} for a in ins or [none] for b in outs or [none]]
     for f in sorted(flags & {"--beam-decode", "--prefix-decode", "--viterbi-decode", "--random-encode", "--cool-decode", "--mcmc-decode", "--beam-encode", "--prefix-encode", "--viterbi-encode"}):
         method, _, way = f[2:].partition("-")
-        import numpy as np
-
         enc = way == "encode"
         c = K.compile_machine(G.sort(A.transpose(m) if enc else m), values)
         extra = {"rng": np.random.default_rng(int(given.get("--seed", ["1"])[-1]))} if method in ("random", "mcmc", "cool") else {}
         if method in ("mcmc", "cool"):
             extra["steps"] = int(given.get("--decode-steps", ["10"])[-1])
+        if method == "prefix" and "--prefix-backtrack" in given:
+            extra["backtrack"] = int(given["--prefix-backtrack"][-1])
         if method == "beam":
             extra["width"] = int(given.get("--beam-width", ["100"])[-1])
         out = []
@@ -179,15 +193,24 @@ def run(args: list[str]) -> object:
             out.append({"input": known if enc else made, "output": made if enc else known, "meta": {"loglike": ll}})
         return out
     if flags & {"--loglike", "--viterbi", "--align", "--counts", "--train"}:
-        return _infer(m, values, pairs, flags)
+        return _infer(m, values, pairs, flags, int(given["--wiggle-room"][-1]) if "--wiggle-room" in given else None)
     if "--graphviz" in flags:
-        return m.dot()
+        return m.dot("--dot-no-merge" not in flags, "--dot-show-io" in flags)
     if "--stats" in flags:
         return m.stats()
     return m.to_json("--name-states" in flags, "--define-exprs" in flags, "--show-params" in flags)
 
 
-def _infer(m, values, pairs, flags):
+def _allowed(p, room):
+    """Cells within ``room`` matches of a pair's alignment; all where there is none or no limit."""
+    if room is None or not p.get("alignment"):
+        return None
+    i = np.arange(len(p["input"]["sequence"]) + 1)[:, None]
+    lo, hi = np.array(S.envelope(p["alignment"], room)).T
+    return (i >= lo) & (i < hi)
+
+
+def _infer(m, values, pairs, flags, room=None):
     from weft.functions import weights as W
     from weft.operators.train import maximise, seed_params
 
@@ -195,7 +218,7 @@ def _infer(m, values, pairs, flags):
     tok = lambda c, p: (c.tokens(p["input"]["sequence"], "in"), c.tokens(p["output"]["sequence"], "out"))
     if flags & {"--loglike", "--viterbi"}:
         grid = K.Grid(c, K.SUM if "--loglike" in flags else K.MAX)
-        scores = [-K.INF if any(t is None for t in tok(c, p)) else float(grid.fill(*([t] for t in tok(c, p)))[0]) for p in pairs]
+        scores = [-K.INF if any(t is None for t in tok(c, p)) else float(grid.fill(*([t] for t in tok(c, p)), allowed=None if (a := _allowed(p, room)) is None else [a])[0]) for p in pairs]
         return [[p["input"]["name"], p["output"]["name"], s] for p, s in zip(pairs, scores, strict=True)]
     if "--align" in flags:
         out = []
@@ -208,7 +231,7 @@ def _infer(m, values, pairs, flags):
     if "--counts" in flags:
         v, out = {**m.defs, **values}, {}
         for p in pairs:
-            z, n = K.counts(c, *tok(c, p))
+            z, n = K.counts(c, *tok(c, p), _allowed(p, room))
             for k, (_, _, e) in enumerate(edges):
                 for q in W.params(e.weight, m.defs) if z > -K.INF else ():
                     out[q] = out.get(q, 0.0) + n[k] * W.evaluate(W.derive(e.weight, q, m.defs), v) * W.evaluate(q, v) / W.evaluate(e.weight, v)
@@ -218,7 +241,7 @@ def _infer(m, values, pairs, flags):
         c = K.compile_machine(m, params)
         total, ll = {}, 0.0
         for p in pairs:
-            z, n = K.counts(c, *tok(c, p))
+            z, n = K.counts(c, *tok(c, p), _allowed(p, room))
             if z > -K.INF:
                 ll += z
                 for k, (s, o, _) in enumerate(edges):

@@ -112,16 +112,19 @@ class PrefixTree:
         return float(f[self.n, self.S - 1])
 
 
-def prefix_search(c: K.Compiled, y, most: int = 100_000) -> tuple[list[str], float]:
-    """Best-first search over input prefixes; exact unless ``most`` nodes are used up."""
+def prefix_search(c: K.Compiled, y, most: int = 100_000, backtrack: int | None = None) -> tuple[list[str], float]:
+    """Best-first search over input prefixes; exact unless ``most`` nodes are used up or prefixes over ``backtrack`` shorter than the longest are given up."""
     t = PrefixTree(c, y)
     best, score = (), t.final(t.root)
     heap = [(-np.inf, 0, (), t.root)]
-    n = 0
+    n = deepest = 0
     while heap and n < most:
         p, _, seq, f = heapq.heappop(heap)
         if -p <= score:
             break
+        deepest = max(deepest, len(seq))
+        if backtrack is not None and len(seq) < deepest - backtrack:
+            continue
         for tok in range(1, len(c.inputs) + 1):
             opened = t.child(f, tok)
             weight = t.prefix(opened)

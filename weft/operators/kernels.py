@@ -196,7 +196,7 @@ def _mix(ring, table, p, batched):
 
 def counts(c: Compiled, x, y, allowed=None) -> tuple[float, np.ndarray]:
     """Log likelihood and expected uses of each edge."""
-    z, n = batch_counts(c, [x], [y], allowed and [allowed])
+    z, n = batch_counts(c, [x], [y], None if allowed is None else [allowed])
     return float(z[0]), n
 
 
