@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import durable
+from weft.llm.common import durable, lookup_join
 
 PAIR = "a_doc bigint, a_line int, b_doc bigint, b_line int"
 #: Similarity threshold as a fraction: 100 * intersection >= 75 * union.
@@ -85,8 +85,9 @@ def _order(cols, i, j):
     return i[two], j[two]
 
 
-def _emit(cols, i, j, kind, apart=0):
-    out = [np.asarray(kind, np.int32) + np.zeros(len(i), np.int32), cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32), np.asarray(apart, np.int32) + np.zeros(len(i), np.int32)]
+def _emit(cols, i, j):
+    none = np.zeros(len(i), np.int32)
+    out = [none + PAIRED, cols[1][i], cols[2][i].astype(np.int32), cols[1][j], cols[2][j].astype(np.int32), none]
     if len(i) > 1:  # one copy of a pair per call is enough
         order = np.lexsort(out[::-1])
         out = [o[order] for o in out]
@@ -98,20 +99,16 @@ def _emit(cols, i, j, kind, apart=0):
 
 FIRST_NAMES = ["kind", "a_doc", "a_line", "b_doc", "b_line", "pos"]
 FIRST = f"kind int, {PAIR}, pos int"
-#: Kinds of rows: the likeliest pair of a later node in a list, an entry of a long list, any other pair.
-#: ``pos`` of a pair is how many bits its signatures differ in.
-BEST, ENTRY, OTHER = 0, 1, 2
+#: Kinds of rows: a pair, an entry of a long list.
+PAIRED, ENTRY = 0, 1
 
 
-def list_pairs(cols, cap: int, positional: bool, dense: int):
-    """Pairs and long-list entries of sorted list columns (v, doc, line, n, pos[, s1, s2])."""
-    v, _, _, n, pos, *sig = cols
-    sig = [x.view(np.uint64) for x in sig]
+def list_pairs(cols, cap: int):
+    """Pairs and long-list entries of sorted list columns (v, doc, line, n, pos)."""
+    v, _, _, n, pos = cols
 
-    def good(i, j, positional=positional):
-        ok = np.flatnonzero(_fits(n[i], n[j], pos[i], pos[j], positional))
-        if sig and len(ok):
-            ok = ok[~_unlike(i[ok], j[ok], n, *sig)]
+    def good(i, j):
+        ok = _fits(n[i], n[j], pos[i], pos[j], False)
         return i[ok], j[ok]
 
     m = len(v)
@@ -127,22 +124,6 @@ def list_pairs(cols, cap: int, positional: bool, dense: int):
             break
         found.append(good(alive - d, alive))
     for s, k in zip(start[size > cap], size[size > cap], strict=True):
-        if sig and k <= dense:
-            by, close, many = s + np.argsort(n[s : s + k], kind="stable"), [], 0
-            upto = np.searchsorted(n[by], n[by] * DEN // NUM, "right")
-            for at in range(0, k, 256):
-                to = min(k, at + 256)
-                last = int(upto[to - 1])  # longer sets can't be similar to any of the block
-                x, y = np.arange(at, to), np.arange(at, last)
-                i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-                up = j > i
-                close.append(good(by[i[up]], by[j[up]]))
-                many += len(close[-1][0])
-                if many > 8 * k:
-                    break
-            if many <= 8 * k:
-                found += close
-                continue
         j = s + np.lexsort((cols[2][s : s + k], cols[1][s : s + k]))
         band = np.floor(np.log(n[j]) / np.log(DEN / NUM) * 2).astype(np.int64)
         for b in np.unique(band):
@@ -150,21 +131,16 @@ def list_pairs(cols, cap: int, positional: bool, dense: int):
                 at = np.flatnonzero(band == near)
                 if len(at):
                     o = j[band == b]
-                    found.append(good(o, np.full(len(o), j[at[0]]), False))
+                    found.append(good(o, np.full(len(o), j[at[0]])))
         # neighbours in order of node: copies made one after another
-        found.append(good(j[:-1], j[1:], False))
+        found.append(good(j[:-1], j[1:]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c) for c in (np.full(k, ENTRY, np.int32), cols[1][j], cols[2][j].astype(np.int32), v[j].view(np.int64), n[j].astype(np.int32), pos[j].astype(np.int32))], FIRST_NAMES
         )
     i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     i, j = _order(cols, i, j)
     if len(i):
-        kind, apart = np.full(len(i), BEST), 0
-        if sig:
-            apart = np.bitwise_count(sig[0][i] ^ sig[0][j]).astype(np.int64) + np.bitwise_count(sig[1][i] ^ sig[1][j])
-            order = np.lexsort((apart, j))
-            kind[order[1:][j[order[1:]] == j[order[:-1]]]] = OTHER
-        yield _emit(cols, i, j, kind, apart)
+        yield _emit(cols, i, j)
 
 
 def first_pairs(listed: DataFrame, cap: int = 32) -> tuple[DataFrame, DataFrame]:
@@ -175,49 +151,16 @@ def first_pairs(listed: DataFrame, cap: int = 32) -> tuple[DataFrame, DataFrame]
 
     def run(batches):
         for cols in _runs(batches, ["v", "doc", "line", "n", "pos"]):
-            yield from list_pairs(cols, cap, False, 0)
+            yield from list_pairs(cols, cap)
 
     out = durable(listed.mapInArrow(run, FIRST))
-    return durable(out.filter(F.col("kind") == BEST).select("a_doc", "a_line", "b_doc", "b_line").distinct()), long_entries(out)
+    return durable(out.filter(F.col("kind") == PAIRED).select("a_doc", "a_line", "b_doc", "b_line").distinct()), long_entries(out)
 
 
 def long_entries(out: DataFrame) -> DataFrame:
     return out.filter(F.col("kind") == ENTRY).select(F.col("b_doc").alias("v"), F.col("a_doc").alias("doc"), F.col("a_line").alias("line"), F.col("b_line").alias("n"), "pos")
 
 
-#: A list entry packed into bytes, for entries that travel by the block.
-PACKED = np.dtype([("v", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("s1", "<u8"), ("s2", "<u8")])
-
-
-def packed_blocks(entries: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Entries dealt to buckets by value: one row a bucket, so millions of entries are some thousand rows to Spark."""
-    bucket = (entries["v"] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    ends = np.append(cut[1:], len(order))
-    sorted_ = entries[order]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[order[cut]].astype(np.int32)), pa.array([sorted_[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "blob"]
-    )
-
-
-def block_pairs(blocks: DataFrame, cap: int = 32, dense: int = 4096) -> DataFrame:
-    """Durable pairs and long-list entries (kind, a, b) of packed entries (bucket int, blob binary) with signatures.
-
-    Lists of up to ``dense`` entries are compared in full, windowed by set
-    size, and count as long only if most of their pairs might be similar.
-    """
-
-    def run(key, table):
-        e = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in table.column("blob")), PACKED)
-        order = np.argsort(e["v"])
-        e = e[order]
-        out = list(list_pairs([np.ascontiguousarray(e[c]) for c in PACKED.names], cap, True, dense))
-        return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())], FIRST_NAMES)
-
-    return durable(blocks.groupBy("bucket").applyInArrow(run, FIRST))
-
-
 def hot_groups(entries: DataFrame) -> DataFrame:
     """Nodes of long lists that hold several groups: (doc, line, n, g, hot, size, main), durable.
 
@@ -225,7 +168,8 @@ def hot_groups(entries: DataFrame) -> DataFrame:
     group; ``size`` counts its nodes and ``main`` is its most frequent g.
     """
     mixed = entries.groupBy("v").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("u")).filter("lo <> hi").select("v", "u")
-    met = durable(entries.join(mixed, "v"))
+    # entries stay where they lie unless there are many such lists: a hot value isn't brought to one task
+    met = durable(lookup_join(entries, durable(mixed), ["v"], "inner"))
     hot = components(met.select("u", F.col("id").alias("v"))).toDF("id", "hot")
     nodes = met.select("id", "doc", "line", "n", "g").distinct().join(hot, "id", "left").withColumn("hot", F.coalesce("hot", "id"))
     nodes = durable(nodes.drop("id"))
